@@ -7,8 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, oph, quality, sharding, simhash
-from .common import table
+from . import chat, decontaminate, lm, mixing, oph, pii, quality, sharding, simhash, token_counts
+from .common import stored, table
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents come in; toxic ones go; those of low quality are counted
+    anew without their repeated lines; and the second batch is sent once more, which changes nothing."""
+    ranks, name = token_counts.read_ranks(), "byte_bpe_50k-1"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    counted = stored(token_counts.count_tokens(docs, ranks, name), "token-counts")
+    marked = counted.join(labels, "doc_id")
+    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    low = docs.join(labels.filter("quality = 0 and toxic = 0"), "doc_id").withColumn("text", once)
+    rollup = token_counts.fresh(spark)
+    rollup.commit("1-insert", token_counts.insert(counted))
+    rollup.commit("2-delete", gone := token_counts.delete(marked.filter("toxic = 1")))
+    rollup.commit("3-revise", token_counts.revise(marked.filter("quality = 0 and toxic = 0"), token_counts.count_tokens(low, ranks, name)))
+    rollup.commit("2-delete", gone)
+    return rollup.totals()
+
+
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +75,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
+        "op2_token_counts": op2_token_counts,
+        "op3_lm_scores": op3_lm_scores,
         "op4_decontaminate": op4_decontaminate,
         "op5_simhash": op5_simhash,
         "op6_shards": op6_shards,
