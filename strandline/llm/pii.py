@@ -217,7 +217,7 @@ def fit(found: DataFrame) -> Model:
 
 
 def wanted(c: Column, model: Model) -> Column:
-    """Whether the classifier takes a candidate."""
+    """Whether the classifier takes a candidate; no votes outweigh a failed form, such as a wrong checksum."""
     w, z = model.weights, F.lit(model.weights.get("bias", -1.0))
     for k in range(len(KINDS)):
         z = z + F.when(c["kind"] == k, F.lit(w.get(f"kind{k}", 0.0))).otherwise(0.0)
@@ -227,7 +227,7 @@ def wanted(c: Column, model: Model) -> Column:
         z = z + F.when(c["votes"][4] == k, F.lit(w.get(f"len{k}", 0.0))).otherwise(0.0)
         for x in (-1, 0, 1):
             z = z + F.when(c["votes"][k] == x, F.lit(w.get(f"{LABELERS[k]}{x}", 0.0))).otherwise(0.0)
-    return z >= 0
+    return (c["votes"][0] == 1) & (z >= 0)
 
 
 def spans(docs: DataFrame) -> DataFrame:
