@@ -1,15 +1,384 @@
-"""Named queries of the timed-record operators and their SQL twins."""
+"""Named queries of the timed-record operators over the driver's tables, and their SQL twins.
+
+Roles: a document is a medium and its lines are cues; events of a user are timed segments; embeddings are
+frames of samples; conversations are tracks of two languages; orders with their line items are media with
+numbered cues.  Each query applies an operator to a whole table.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import signal, timecode
+from ..functions import text as X
+from ..operators import align, gates, intervals, models, provenance, segments, sequences, validate, windows
+from ..settings import Script, Settings
+from ..sources import media as M
+from ..sources import srt
+from ..streaming import streams
+
+#: The documents hold no kana or ideographs, so other classes play their parts.
+DIGITS = Script(alien_run="[0-9]{4,}")
+LATIN = Settings(script=Script(left_over="#$%&*", ideograph="A-Za-z", context_words=(" it ", " he ", " die ", " que "), final_particles=("the", "la", "der", "de"), unclear="(unclear)"))
+
+
+def _none() -> Column:
+    return F.lit(None).cast("double")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return rows.filter(X.strip(F.col("text")) != "")
+
+
+def _seconds(ts: str) -> Column:
+    """Seconds since 2024-01-01, whatever the session's zone."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(F.col(ts)) - micros(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))) / 1e6
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", _seconds("ts").alias("start"))
+    return e.withColumn("end", F.col("start") + F.col("value"))
+
+
+# --- text and sequences -----------------------------------------------------------------------------
+
+
+def line_cues(spark, d):
+    return sequences.renumber(_lines(spark, d), ["doc_id"], ["pos"]).select("doc_id", F.col("idx").cast("bigint").alias("idx"), X.collapse(F.col("text")).alias("text"))
+
+
+def quality_text_rules(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), X.quality_error(F.col("text"), DIGITS, _none()).alias("error"))
+
+
+def repetition_root(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    texts = words.select(F.explode(F.array("w", F.concat("w", "w"), F.concat("w", F.lit(" "), "w", F.lit("-"), "w"))).alias("text")).distinct()
+    return texts.select("text", X.repetition_root(F.col("text")).alias("root"))
+
+
+def burst_filter(spark, d):
+    kept = sequences.drop_bursts(_lines(spark, d), ["doc_id"], ["pos"])
+    return kept.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "text")
+
+
+def exact_burst_filter(spark, d):
+    kept = sequences.drop_exact_bursts(_lines(spark, d), ["doc_id"], ["pos"])
+    return kept.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "text")
+
+
+def transcript_quality(spark, d):
+    found = sequences.transcript_quality(_lines(spark, d), ["doc_id"], ["pos"], table(spark, d, "documents"), script=DIGITS, ratio=_none())
+    return found.select("doc_id", "cues", "longest_run", "adjacent", "dominant_text", "dominant_count", "punctuation_only", "bad_cues", "bad_preview", F.array_join("errors", " | ").alias("errors"))
+
+
+def adjacent_context(spark, d):
+    return sequences.neighbours(table(spark, d, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "previous", "following")
+
+
+def context_window(spark, d):
+    found = sequences.context_frames(table(spark, d, "conversations"), ["conv_id"], ["turn"], 2, 3)
+    joined = lambda c: F.array_join(c, "¦").alias(c)
+    return found.select("conv_id", F.col("batch_no").cast("bigint").alias("batch_no"), joined("context_before"), joined("texts"), joined("context_after"))
+
+
+# --- windows and intervals --------------------------------------------------------------------------
+
+
+def decode_windows(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 2).alias("duration"))
+    return windows.decode_windows(docs).withColumn("window_no", F.col("window_no").cast("bigint"))
+
+
+def chunk_windows(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 2).alias("duration"))
+    return windows.source_chunks(docs).withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
+
+
+def owned_segments(spark, d):
+    """Each event is seen by every chunk that decodes its beginning, and kept by the one that owns its middle."""
+    e = _events(spark, d)
+    spans = e.groupBy("user_id").agg(F.max("end").alias("duration"))
+    chunks = windows.source_chunks(spans)
+    near = F.explode(F.array_distinct(F.array(F.floor((F.col("start") - 1) / 300), F.floor(F.col("start") / 300), F.floor((F.col("start") + 1) / 300))).cast("array<int>"))
+    seen = e.withColumn("chunk_no", near).join(chunks, ["user_id", "chunk_no"])
+    seen = seen.filter((F.col("start") >= F.col("decode_start")) & (F.col("start") < F.col("decode_start") + F.col("decode_duration")))
+    relative = seen.withColumns({"start": F.col("start") - F.col("decode_start"), "end": F.col("end") - F.col("decode_start")})
+    kept = windows.shifted(windows.owned(relative))
+    return kept.select("event_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+def activity_merge(spark, d):
+    e = _events(spark, d).withColumn("end", F.col("start") + 60)
+    found = intervals.merge_gaps(e.select("user_id", "start", "end"), ["user_id"], gap=3600.0, least=100.0)
+    return found.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+def interval_coverage(spark, d):
+    e = _events(spark, d).select("event_id", "user_id", "event_type", "start", (F.col("start") + F.col("value") * 60).alias("end"))
+    found = intervals.coverage(e.filter("event_type = 'click'").drop("event_type"), e.filter("event_type = 'view'"), ["user_id"], bucket=3600.0)
+    return found.select("event_id", "user_id", F.round("coverage", 6).alias("coverage"), (F.col("coverage") < 0.2).alias("low"))
+
+
+def capped_merge(spark, d):
+    e = _events(spark, d)
+    spans = e.withColumn("end", F.col("start") + F.col("value")).withColumn("duration", F.lit(30 * 86400.0))
+    return intervals.capped_merge(spans.select("user_id", "start", "end", "duration"), ["user_id"], gap=600.0, cap=900.0, stride=840.0)
+
+
+def rescue_merge(spark, d):
+    e = _events(spark, d).select("user_id", F.col("event_id").alias("seq"), "event_type", "start", (F.col("start") + F.col("value") * 60).alias("end"), F.col("event_type").alias("text"), (-F.col("value") / 50).alias("avg_logprob"))
+    return intervals.rescue_merge(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), ["user_id"])
+
+
+# --- samples ----------------------------------------------------------------------------------------
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    samples = F.transform("embedding", lambda x: F.rint(x.cast("double") * 32767).cast("smallint"))
+    return table(spark, d, "embeddings").select("vec_id", "label", samples.alias("samples"), F.lit(64).alias("rate"))
+
+
+def frame_dbfs(spark, d):
+    return _frames(spark, d).select("vec_id", F.round(signal.level(F.col("samples")), 6).alias("dbfs"))
+
+
+def clipping_ratio(spark, d):
+    return _frames(spark, d).select("vec_id", F.round(signal.clipping_ratio(F.col("samples"), 5000), 6).alias("ratio"))
+
+
+def interval_levels(spark, d):
+    parts = F.array(*(F.struct(F.lit(k / 4).alias("start"), F.lit((k + 1) / 4).alias("end")) for k in range(5)))
+    f = _frames(spark, d).select("vec_id", F.posexplode(signal.interval_levels(F.col("samples"), F.col("rate"), parts)).alias("part", "dbfs"))
+    return f.select("vec_id", F.col("part").cast("bigint").alias("part"), F.round("dbfs", 6).alias("dbfs"))
+
+
+def foreground_filter(spark, d):
+    f = _frames(spark, d)
+    halves = F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("seq"), F.lit(k / 2).alias("start"), F.lit((k + 1) / 2).alias("end")) for k in range(2))))
+    s = f.select("*", halves.alias("s")).select("vec_id", "samples", "rate", "s.*", (-F.col("label") / 10).alias("avg_logprob"), F.when(F.col("label") % 3 != 0, 0.1).alias("no_speech_prob"))
+    kept = segments.foreground(s, Settings(foreground_min_dbfs=-18.0, foreground_confident_min_dbfs=-19.0, rescue_activity_dbfs=-10.0))
+    return kept.select("vec_id", "seq", F.round("dbfs", 6).alias("dbfs"))
+
+
+# --- tracks, validation, provenance -------------------------------------------------------------------
+
+
+def _tracks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, d, "conversations")
+
+    def track(role: str, lag: int) -> DataFrame:
+        own = sequences.renumber(c.filter(F.col("role") == role), ["conv_id"], ["turn"])
+        return own.select(F.col("conv_id").alias("media_id"), "idx", (F.col("turn") - lag).cast("string").alias("timing"), "text")
+
+    return track("user", 0), track("assistant", 1)
+
+
+def pair_alignment(spark, d):
+    return align.alignment(*_tracks(spark, d))
+
+
+def stacked_pairs(spark, d):
+    return align.stacked(*_tracks(spark, d)).withColumn("idx", F.col("idx").cast("bigint"))
+
+
+def validation_report(spark, d):
+    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
+    media = orders.select(F.col("o_orderkey").alias("media_id"), F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("name"), F.lit(100_000).cast("bigint").alias("duration_ms"))
+    day = F.datediff("l_shipdate", "o_orderdate")
+    c = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
+        F.col("o_orderkey").alias("media_id"), F.col("l_linenumber").alias("idx"), (day * 1000).cast("bigint").alias("start_ms"),
+        (day * 1000 + F.col("l_quantity") * 100).cast("bigint").alias("end_ms"), F.concat("l_returnflag", "l_linestatus").alias("text"), "l_partkey", "l_suppkey", "l_extendedprice",
+    )
+    c = c.withColumn("timing", F.concat_ws("-", "start_ms", "end_ms"))
+    order = ["idx", "start_ms", "l_partkey", "l_suppkey", "l_extendedprice", "end_ms"]
+    track = lambda rows, lang: sequences.renumber(rows, ["media_id"], order, "pos").withColumn("lang", F.lit(lang))
+    cues = track(c, "ja").unionByName(track(c.filter("text != 'AF'"), "zh-Hans")).select("media_id", "lang", "pos", "idx", "timing", "start_ms", "end_ms", "text")
+    key = F.col("media_id")
+    facts = cues.groupBy("media_id", "lang").agg(F.count("*").alias("n")).select(
+        "media_id", "lang", F.when((key % 11 == 0) & (F.col("lang") == "ja"), "malformed block").alias("parse_error"), F.when(F.col("n") >= 7, "too many cues").alias("quality_error"),
+        F.when(key % 7 == 0, "stale").when(key % 7 == 1, "missing").otherwise("current").alias("provenance"),
+    )
+    return validate.report(media, cues, facts, "R").withColumn("tier", F.col("tier").cast("bigint"))
+
+
+def srt_roundtrip(spark, d):
+    e = _events(spark, d).withColumn("end", F.col("start") + F.col("value") / 7)
+    timed = e.withColumn("timing", timecode.timing(F.col("start"), F.col("end")))
+    content = F.concat(srt.block(F.col("event_id"), F.col("timing"), F.col("event_type")), F.lit("\n"))
+    back = srt.parse(timed.select("event_id", content.alias("content")))
+    return back.select("event_id", F.col("idx").cast("bigint").alias("idx"), "timing", "start_ms", "end_ms", "text")
+
+
+def fingerprints(spark, d):
+    docs = table(spark, d, "documents")
+    finger = provenance.fingerprint(F.lit("translation"), F.col("doc_id"), F.col("lang"), F.col("source"), F.sha2(F.col("text").cast("binary"), 256))
+    now = docs.select("doc_id", finger.alias("fingerprint"))
+    edited = provenance.fingerprint(F.lit("translation"), F.col("doc_id"), F.col("lang"), F.col("source"), F.sha2(F.concat("text", F.lit("!")).cast("binary"), 256))
+    recorded = docs.filter("doc_id % 5 != 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, edited).otherwise(finger).alias("fingerprint"))
+    return provenance.status(now, recorded, ["doc_id"])
+
+
+def pending_work(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", provenance.fingerprint(F.col("doc_id"), F.col("n_chars")).alias("fingerprint"))
+    done = docs.filter("doc_id % 4 != 1").withColumn("fingerprint", F.when(F.col("doc_id") % 6 == 0, "old").otherwise(F.col("fingerprint")))
+    return provenance.pending(docs, done, ["doc_id"])
+
+
+def agreement_choice(spark, d):
+    """Each benchmark item against the window of a document of the same number, both as retries of one interval."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.substring("text", 1, 120).alias("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.substring("text", 1, 100).alias("text"))
+    both = items.select("k", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.substring("text", 1, 50).alias("text")), F.struct(F.lit(2).alias("seq"), F.substring("text", 51, 50).alias("text")))).alias("x"))
+    primary = both.select("k", "x.seq", "x.text", (-(F.col("k") % 12) / 10).alias("avg_logprob"))
+    mixed = F.when(F.col("i.k") % 3 == 0, F.col("i.text")).otherwise(F.col("d.text"))
+    specialist = items.alias("i").join(docs.alias("d"), F.col("i.k") == F.col("d.k")).select(F.col("i.k").alias("k"), F.lit(1).alias("seq"), mixed.alias("text"), (-(F.col("i.k") % 9) / 10).alias("avg_logprob"))
+    levels = items.select("k", (F.lit(-20.0) - F.col("k") % 20).alias("dbfs"))
+    return segments.choose(primary, specialist, levels, ["k"], Settings(script=DIGITS))
+
+
+def review_reasons(spark, d):
+    s, t = _tracks(spark, d)
+    p = align.pairs(s, t).filter("source_text is not null and target_text is not null")
+    reasons = F.array_join(X.review_reasons(F.col("source_text"), F.col("target_text"), LATIN), ", ")
+    return p.select("media_id", F.col("pos").cast("bigint").alias("pos"), reasons.alias("reasons"), X.replacement_is_safe(F.col("source_text"), F.col("target_text"), LATIN.script).alias("safe"))
+
+
+def marker_parse(spark, d):
+    c = table(spark, d, "conversations").withColumn("line", F.regexp_replace(F.substring("text", 1, 40), r"[\n\[\]]", " "))
+    n = F.when(F.col("turn") % 3 == 2, F.col("turn")).otherwise(F.col("turn") + 1)
+    one = F.struct("turn", F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.col("line")).alias("t"))
+    r = c.groupBy("conv_id").agg(F.count("*").cast("int").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "\n").alias("response"))
+    return r.select("conv_id", F.array_join(X.parse_numbered(F.col("response"), F.lit(2)), "¦").alias("items"))
+
+
+def compression_ratio(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.round(X.zlib_ratio(X.squash(F.col("text"))), 6).alias("ratio"))
+
+
+def media_names(spark, d):
+    """Customers' names as media names, in the order of their folded forms."""
+    c = table(spark, d, "customer").select(F.concat("c_name", F.lit(".MKV")).alias("name"))
+    return c.select("name", X.name_key(F.col("name")).alias("key"), M.stem(F.col("name")).alias("stem"))
+
+
+# --- control plane ------------------------------------------------------------------------------------
+
+
+def inventory_rollup(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    media = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".mkv")).alias("name"), F.col("n_chars").alias("length"))
+    side = lambda flag, lang: labels.filter(F.col(flag) == 1).select(F.col("doc_id").cast("string").alias("stem"), F.lit(lang).alias("lang"), F.lit(1).alias("length"))
+    return M.inventory(media, side("quality", "ja").unionByName(side("toxic", "zh-Hans")))
+
+
+def status_action(spark, d):
+    """One row a source: how far labelling has come decides what would be done next."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    facts = docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("videos"), F.count_if(F.col("quality") == 1).alias("targets"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.min("doc_id").alias("first"))
+    k, q = F.col("first") % 7, F.col("toxic")
+    lock = F.when(k == 0, "unreadable").when(k == 1, "active").otherwise("free")
+    action = gates.next_action(lock, k != 2, F.col("videos"), q % 2 == 1, q % 3 == 1, k == 3, k == 4, F.col("targets") > 10, F.col("targets"))
+    return facts.select("source", action.alias("action"))
+
+
+def gate_current(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    present = docs.select(F.col("doc_id").alias("media"), F.col("lang").alias("fingerprint"), F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"), F.sha2(F.col("source").cast("binary"), 256).alias("target_sha256"))
+    g = labels.join(docs, "doc_id").select(
+        F.col("doc_id").alias("media"), F.when(F.col("toxic") == 1, "en").otherwise(F.col("lang")).alias("fingerprint"), F.when(F.col("quality") == 1, "awaiting_review").alias("status"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"), F.when(F.col("doc_id") % 9 != 0, F.sha2(F.col("source").cast("binary"), 256)).alias("target_sha256"),
+    )
+    return gates.review_current(g, present).select("media", "current")
+
+
+# --- models, streams ----------------------------------------------------------------------------------
+
+
+def translate_batches(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("idx"), "text")
+    return models.translate(c, models.EchoTranslator, settings=Settings())
+
+
+def selective_review(spark, d):
+    s, t = _tracks(spark, d)
+    p = align.pairs(s, t).filter("source_text is not null and target_text is not null")
+    return models.review(p.select("media_id", F.col("pos").alias("idx"), F.col("source_text").alias("text"), F.col("target_text").alias("candidate")), models.EchoTranslator, settings=LATIN)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the checkpoint folder, or below a temporary one where Spark is local and none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
+    out = _scratch(spark, name)
+    stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    schema = table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/{name}.parq*et")
+
+
+def event_log_stream(spark, d):
+    """The events as an append-only log, read to its end: each event in the window that owns it."""
+    e = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    owned = streams.owned_windows(e, size=3600, overlap=600)
+    return _run(spark, owned.select("event_id", F.unix_seconds("window_start").alias("window_start")), "event-log", "append")
+
+
+def chunk_stream(spark, d):
+    """Documents as chunks that are worked off once each; a second run over the same input adds nothing."""
+    out = _scratch(spark, "chunks")
+    work = lambda rows: rows.select("media_id", "chunk_no", F.length("text").cast("bigint").alias("chars"))
+    for run in ("a", "b"):
+        chunks = _stream(spark, d, "documents").select(F.col("doc_id").alias("media_id"), F.lit(0).cast("bigint").alias("chunk_no"), "text")
+        streams.process_pending(chunks, f"{out}/data", f"{out}/state-{run}", work).awaitTermination()
+    return spark.read.parquet(f"{out}/data")
+
+
+def carried_context(spark, d):
+    """Each message of a conversation with the texts before it, carried as state of a stream."""
+    c = streams.carry_context(_stream(spark, d, "conversations"), "conv_id", "turn", "text", keep=2)
+    return _run(spark, c.select("conv_id", "turn", F.array_join("context", "¦").alias("context")), "carry", "append")
+
+
+_ALL = (
+    line_cues, quality_text_rules, repetition_root, burst_filter, exact_burst_filter, transcript_quality, adjacent_context, context_window,
+    decode_windows, chunk_windows, owned_segments, activity_merge, interval_coverage, capped_merge, rescue_merge,
+    frame_dbfs, clipping_ratio, interval_levels, foreground_filter,
+    pair_alignment, stacked_pairs, validation_report, srt_roundtrip, fingerprints, pending_work,
+    agreement_choice, review_reasons, marker_parse, compression_ratio, media_names,
+    inventory_rollup, status_action, gate_current, translate_batches, selective_review,
+    event_log_stream, chunk_stream, carried_context,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .twins import TWINS
+
+    return dict(TWINS)
