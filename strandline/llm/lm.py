@@ -49,7 +49,7 @@ def _encode(rows: Iterator) -> Iterator:
         long = np.array(lens, dtype="<i4")
         hashes = np.fromiter(map(xxh64_intdigest, number, repeat(42)), dtype="<u8", count=len(number))
         train = int((long[~np.array(held, dtype=bool)] - 1).sum())
-        row = [part | made, _ids(docs), np.array(held, dtype=bool).tobytes(), long.tobytes(), np.concatenate(ids).tobytes(), hashes.tobytes(), train, int((long - 1).sum())]
+        row = [part | made, _ids(docs), np.array(held, dtype=bool).tobytes(), long.tobytes(), _pack(np.concatenate(ids)), hashes.tobytes(), train, int((long - 1).sum())]
         kinds = [pa.int64()] + [pa.binary()] * 5 + [pa.int64()] * 2
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
@@ -94,14 +94,33 @@ def _read(row: dict) -> tuple:
     import numpy as np
 
     lens = np.frombuffer(row["lens"], dtype="<i4").astype(np.int64)
-    return np.frombuffer(row["ids"], dtype="<i4"), lens, np.cumsum(lens) - lens, np.frombuffer(row["dict"], dtype="<u8"), np.frombuffer(row["held"], dtype=bool)
+    return _unpack(row["ids"], "<i4"), lens, np.cumsum(lens) - lens, np.frombuffer(row["dict"], dtype="<u8"), np.frombuffer(row["held"], dtype=bool)
 
 
-def _planes(keys) -> bytes:
-    """Sorted hashes byte by byte: the leading bytes repeat and compress."""
+def _pack(numbers) -> bytes:
+    """Numbers byte plane by byte plane, compressed: high bytes repeat in counts, word numbers and sorted hashes."""
     import numpy as np
+    import pyarrow as pa
+
+    size = numbers.dtype.itemsize
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, size).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind: str):
+    import numpy as np
+    import pyarrow as pa
+
+    planes = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
 
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _rows(batches: Iterator) -> Iterator:
+    """Rows as dicts, one in Python's memory at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
 def _requests(blocks: DataFrame, order: int, bits: int) -> DataFrame:
@@ -111,21 +130,20 @@ def _requests(blocks: DataFrame, order: int, bits: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, lens, starts, dictionary, held = _read(row)
-                train = np.repeat(~held, lens)
-                out: list = []
-                for level, (key, valid) in enumerate(_grams(ids, starts, dictionary, order), 1):
-                    keys, place = np.unique(key[valid], return_inverse=True)
-                    counts = np.bincount(place, weights=train[valid], minlength=len(keys)).astype("<u4")
-                    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    for p in range(1 << bits):
-                        a, b = cuts[p], cuts[p + 1]
-                        if b > a:
-                            out.append((p, row["block"], level, _planes(keys[a:b]), counts[a:b].tobytes()))
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["part", "block", "level", "keys", "counts"])
+        for row in _rows(batches):
+            ids, lens, starts, dictionary, held = _read(row)
+            train = np.repeat(~held, lens)
+            out: list = []
+            for level, (key, valid) in enumerate(_grams(ids, starts, dictionary, order), 1):
+                keys, place = np.unique(key[valid], return_inverse=True)
+                counts = np.bincount(place, weights=train[valid], minlength=len(keys)).astype("<u4")
+                cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                for p in range(1 << bits):
+                    a, b = cuts[p], cuts[p + 1]
+                    if b > a:
+                        out.append((p, row["block"], level, _pack(keys[a:b]), _pack(counts[a:b])))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["part", "block", "level", "keys", "counts"])
 
     return blocks.select("block", "lens", "ids", "dict", "held").mapInArrow(run, "part int, block long, level int, keys binary, counts binary")
 
@@ -146,12 +164,12 @@ def _answers(requests: DataFrame) -> DataFrame:
         totals, types = [b""] * len(part), [0] * len(part)
         for n in sorted(set(level)):
             rows = [k for k, x in enumerate(level) if x == n]
-            own = [np.ascontiguousarray(np.frombuffer(keys[k].as_buffer(), dtype=np.uint8).reshape(8, -1).T).view("<u8")[:, 0] for k in rows]
+            own = [_unpack(keys[k].as_py(), "<u8") for k in rows]
             _, place = np.unique(np.concatenate(own), return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate([np.frombuffer(counts[k].as_buffer(), dtype="<u4") for k in rows]))
+            total = np.bincount(place, weights=np.concatenate([_unpack(counts[k].as_py(), "<u4") for k in rows]))
             ends = np.cumsum([len(x) for x in own])
             for k, a, b in zip(rows, ends - [len(x) for x in own], ends):
-                totals[k] = total[place[a:b]].astype("<u8").tobytes()
+                totals[k] = _pack(total[place[a:b]].astype("<u8"))
             if n == 1:
                 words = np.unique(np.concatenate(own))
                 types[rows[0]] = int((total[words != np.uint64(start)] > 0).sum())
@@ -166,14 +184,14 @@ def _start_hash() -> int:
     return xxh64_intdigest(_START, 42)
 
 
-def traverse(first: int, last: int, root: list, known: list, arcs: list, failures: list) -> float:
-    """The log10 weight of positions ``first`` to ``last`` (excluded), from the state after START.
+def traverse(root: list, known: list, arcs: list, failures: list) -> float:
+    """The log10 weight of a document, whose positions are START, its words and END.
 
     arcs[s][i] is the weight of the arc of word i from its context of s words, NaN if there is none;
     failures[s][i] that of the failure arc of that context.
     """
-    order, total, s = len(arcs), 0.0, known[first - 1]
-    for i in range(first, last):
+    order, total, s = len(arcs), 0.0, known[0]
+    for i in range(1, len(root)):
         while s:
             x = arcs[s][i]
             if x == x:
@@ -197,40 +215,43 @@ def _scores(blocks: DataFrame, order: int, prior: float, n: int, types: int) ->
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, lens, starts, dictionary, held = _read(row)
-                answer = {(a["level"], a["part"]): a["totals"] for a in row["answers"]}
-                counts = []
-                for level, (key, valid) in enumerate(_grams(ids, starts, dictionary, order), 1):
-                    _, place = np.unique(key[valid], return_inverse=True)
-                    total = np.concatenate([np.frombuffer(answer[k], dtype="<u8") for k in sorted(answer) if k[0] == level])
-                    at = np.zeros(len(ids))
-                    at[valid] = total[place]
-                    counts.append(at)
-                p = (counts[0] + 1) / (n + types + 1)
-                base = np.log10(p)
-                arcs, failures = [None], [None]
-                for k in range(1, order):
-                    seen = np.roll(counts[k - 1], 1)  # of the context, the shorter n-gram before
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        p = np.where(seen > 0, (counts[k] + prior * p) / (seen + prior), p)
-                        arcs.append(np.where(counts[k] > 0, np.log10(p), np.nan).tolist())
-                        failures.append(np.log10(prior / (seen + prior)).tolist())
-                root, known = base.tolist(), (counts[0] > 0).astype(int).tolist()
-                score = [traverse(a + 1, a + m, root, known, arcs, failures) for a, m in zip(starts.tolist(), lens.tolist())]
-                inner = np.ones(len(ids), dtype=bool)
-                inner[starts] = False
-                sums = lambda x: np.add.reduceat(np.where(inner, x, 0), starts)
-                docs = np.frombuffer(row["doc_ids"][: 8 * len(lens)], dtype="<i8")
-                none = np.frombuffer(row["doc_ids"][8 * len(lens) :], dtype=bool)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(docs, pa.int64(), mask=none), pa.array(held), pa.array(lens - 1), pa.array(sums((counts[0] > 0).astype(np.int64))),
-                        pa.array([n] * len(lens), pa.int64()), pa.array(sums(base)), pa.array(score, pa.float64()),
-                    ],
-                    [x.split()[0] for x in schema.split(", ")],
-                )
+        for row in _rows(batches):
+            ids, lens, starts, dictionary, held = _read(row)
+            answer = {(a["level"], a["part"]): a["totals"] for a in row["answers"]}
+            counts = []
+            for level, (key, valid) in enumerate(_grams(ids, starts, dictionary, order), 1):
+                _, place = np.unique(key[valid], return_inverse=True)
+                total = np.concatenate([_unpack(answer[k], "<u8") for k in sorted(answer) if k[0] == level])
+                at = np.zeros(len(ids))
+                at[valid] = total[place]
+                counts.append(at)
+            p = (counts[0] + 1) / (n + types + 1)
+            base = np.log10(p)
+            arcs, failures = [None], [None]
+            for k in range(1, order):
+                seen = np.roll(counts[k - 1], 1)  # of the context, the shorter n-gram before
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    p = np.where(seen > 0, (counts[k] + prior * p) / (seen + prior), p)
+                    arcs.append(np.where(counts[k] > 0, np.log10(p), np.nan))
+                    failures.append(np.log10(prior / (seen + prior)))
+            known = ((counts[0] > 0) & (order > 1)).astype(np.int8)
+            own = lambda x, a, b: x if x is None else x[a:b].tolist()
+            score = [
+                traverse(base[a:b].tolist(), known[a:b].tolist(), [own(x, a, b) for x in arcs], [own(x, a, b) for x in failures])
+                for a, b in zip(starts.tolist(), (starts + lens).tolist())
+            ]
+            inner = np.ones(len(ids), dtype=bool)
+            inner[starts] = False
+            sums = lambda x: np.add.reduceat(np.where(inner, x, 0), starts)
+            docs = np.frombuffer(row["doc_ids"][: 8 * len(lens)], dtype="<i8")
+            none = np.frombuffer(row["doc_ids"][8 * len(lens) :], dtype=bool)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(docs, pa.int64(), mask=none), pa.array(held), pa.array(lens - 1), pa.array(sums((counts[0] > 0).astype(np.int64))),
+                    pa.array([n] * len(lens), pa.int64()), pa.array(sums(base)), pa.array(score, pa.float64()),
+                ],
+                [x.split()[0] for x in schema.split(", ")],
+            )
 
     return blocks.mapInArrow(run, schema)
 
