@@ -17,18 +17,23 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents come in; toxic ones go; those of low quality are counted
-    anew without their repeated lines; and the second batch is sent once more, which changes nothing."""
+    anew without their repeated lines; and the second batch is sent once more, which changes nothing.
+
+    Both versions of a text are counted in one pass over the documents, so no text is shuffled.
+    """
     ranks, name = token_counts.read_ranks(), "byte_bpe_50k-1"
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    counted = stored(token_counts.count_tokens(docs, ranks, name), "token-counts")
-    marked = counted.join(labels, "doc_id")
     once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    low = docs.join(labels.filter("quality = 0 and toxic = 0"), "doc_id").withColumn("text", once)
+    version = lambda revised, text: F.struct(F.lit(revised).alias("revised"), text.alias("text"))
+    first, again = F.array(version(False, F.col("text"))), F.array(version(True, once))
+    versions = docs.select("doc_id", "source", "lang", F.inline(F.when(once != F.col("text"), F.concat(first, again)).otherwise(first)))
+    counted = stored(token_counts.count_tokens(versions, ranks, name), "token-counts")
+    first, low = counted.filter("not revised"), counted.filter("revised").join(labels.filter("quality = 0 and toxic = 0"), "doc_id")
     rollup = token_counts.fresh(spark)
-    rollup.commit("1-insert", token_counts.insert(counted))
-    rollup.commit("2-delete", gone := token_counts.delete(marked.filter("toxic = 1")))
-    rollup.commit("3-revise", token_counts.revise(marked.filter("quality = 0 and toxic = 0"), token_counts.count_tokens(low, ranks, name)))
+    rollup.commit("1-insert", token_counts.insert(first))
+    rollup.commit("2-delete", gone := token_counts.delete(first.join(labels.filter("toxic = 1"), "doc_id")))
+    rollup.commit("3-revise", token_counts.revise(first.join(low.select("doc_id").distinct(), "doc_id"), low))
     rollup.commit("2-delete", gone)
     return rollup.totals()
 
