@@ -56,10 +56,13 @@ def schedule(docs: DataFrame, seed: str = "mix", keep: Sequence[str] = ("doc_id"
     have no words and are never taken; null is a source like others; repeated rows are served each.
     """
     queue = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("id"), "source", count_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"))
-    queue = stored(queue, "mix-queue")
-    bits = min(16, max(0, (queue.count() // 8_000).bit_length()))
-    queue = queue.withColumn("range", F.shiftright("key", 60 - bits).cast("int"))
-    sums = stored(queue.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-ranges")
+    small = stored(queue.drop("row"), "mix-queue")  # without what is kept, such as texts, which are read again instead
+    if list(keep) == ["doc_id"]:
+        queue = small.select(F.struct(F.col("id").alias("doc_id")).alias("row"), "*")
+    bits = min(16, max(0, (small.count() // 500).bit_length()))
+    cut = lambda rows: rows.withColumn("range", F.shiftright("key", 60 - bits).cast("int"))
+    queue, small = cut(queue), cut(small)
+    sums = stored(small.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-ranges")
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), **how)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
