@@ -5,7 +5,9 @@ those of the benchmark; each hit says how a document and an item may be laid ove
 overlap is verified word by word.  A document is contaminated by an item if, laid over it without gaps,
 it has at least ``share`` of the item's words at their places: words may be substituted, not inserted.
 
-With share 0.8 the two masks find every overlap of 15 words, whichever three are substituted.
+With share 0.8 the two masks find every overlap of 15 words, whichever three are substituted.  Items of
+6 to 14 words may lose one or two, which leaves three in a row: they are sought by a shorter mask, which
+documents are hashed with only if the benchmark has such items.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import let
 
 MASKS = ("111011", "101111")
+SHORT_MASKS, SHORT_ITEMS = ("111",), (6, 14)
 SHARE = 0.8
 #: Benchmarks of up to so many seeds are broadcast (16 bytes a seed); larger ones are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
@@ -40,7 +43,7 @@ def seeds(rows: DataFrame, keys: Sequence[str], masks: Sequence[str] = MASKS) ->
 
     hashed = let(F.transform("words", lambda w: F.xxhash64(w)), shifted)
     at = rows.select(*keys, F.posexplode(hashed).alias("pos", "z"))
-    own = [F.xxhash64(F.lit(k), *(F.col(f"z.w{i}") for i, bit in enumerate(m) if bit == "1")) for k, m in enumerate(masks)]
+    own = [F.xxhash64(F.lit(m), *(F.col(f"z.w{i}") for i, bit in enumerate(m) if bit == "1")) for m in masks]
     return at.select(*keys, "pos", F.explode(F.array(*own)).alias("seed"))
 
 
@@ -52,17 +55,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks: Sequence[str] = MASKS) -> DataFrame:
     """k_id, k_text, doc_id, item_id, n_words, matched: the best overlap of each contaminated document and item.
 
-    Every row of both tables takes part with its whole text.  Null or blank texts, and items shorter than
-    a mask, overlap with nothing.  Rows equal in id and text give one row; equal ids with other texts
+    Every row of both tables takes part with its whole text.  Null or blank texts, and items of fewer than
+    six words, which are evidence of nothing, overlap with nothing.  Rows equal in id and text give one row; equal ids with other texts
     give one each.  Items with a repeated id are told apart by their texts, and reported by id.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).distinct()
     items = items.select("item_id", F.xxhash64("words").alias("i_key"), F.size("words").alias("n_words"), F.col("words").alias("i_words"))
-    item_seeds = seeds(items.select("item_id", "i_key", F.col("i_words").alias("words")), ["item_id", "i_key"], masks).withColumnRenamed("pos", "i_pos")
+    least, most = SHORT_ITEMS
+    items = items.filter(F.col("n_words") >= least)
+    own = lambda rows, m: seeds(rows.select("item_id", "i_key", F.col("i_words").alias("words")), ["item_id", "i_key"], m).withColumnRenamed("pos", "i_pos")
+    item_seeds = own(items.filter(F.col("n_words") > most), masks)
+    families = [masks]
+    if items.filter(F.col("n_words") <= most).limit(1).count():
+        item_seeds = item_seeds.unionByName(own(items.filter(F.col("n_words") <= most), SHORT_MASKS))
+        families.append(SHORT_MASKS)
     small = item_seeds.count() <= BROADCAST_SEEDS
     sized = F.broadcast if small else lambda d: d
     keyed = _keyed(docs)
-    mine = seeds(keyed.select("k_id", "k_text", tokens(F.col("text")).alias("words")), ["k_id", "k_text"], masks)
+    worded = keyed.select("k_id", "k_text", tokens(F.col("text")).alias("words"))
+    mine = seeds(worded, ["k_id", "k_text"], families[0])
+    for m in families[1:]:
+        mine = mine.unionByName(seeds(worded, ["k_id", "k_text"], m))
     hit = mine.join(sized(item_seeds), "seed").select("k_id", "k_text", "item_id", "i_key", (F.col("pos") - F.col("i_pos")).alias("off")).distinct()
     both = keyed.join(hit, ["k_id", "k_text"]).select("k_id", "k_text", "doc_id", "item_id", "i_key", "off", tokens(F.col("text")).alias("d_words"))
     both = both.join(sized(items), (both.i_key == items.i_key) & both.item_id.eqNullSafe(items.item_id)).select("k_id", "k_text", "doc_id", both.item_id, "n_words", "off", "d_words", "i_words")
