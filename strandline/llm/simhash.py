@@ -11,6 +11,8 @@
    buckets of at most 65: each one is sent to its own value and the 64 values one bit away; two
    fingerprints share such a value if and only if they differ in at most two bits.
 5. ``near_duplicates``: connected components over one representative for each distinct fingerprint.
+6. ``keep_one``: what is left of those groups is searched for near copies with more edits, whose
+   fingerprints lie too far apart for any grid: see ``passages``.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, stored
 from .components import components
+from .passages import SHARE, near_copies
 
 _PAIRS = 0x5555555555555555
 
@@ -125,15 +128,21 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: in
     return fps.join(home, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: int = 42, share: float | None = SHARE) -> DataFrame:
     """The rows of ``docs`` with one document of each group left: the one with the least doc_id.
 
-    Of repeated rows with that id the one with the least text stays.  Rows without an id stay, as
-    nothing tells them apart from a document that is kept.
+    Groups are those of ``near_duplicates``; what is left is then grouped by near copies of similarity
+    ``share`` that share passages (None: not).  Of repeated rows with an id that stays, one stays.  Rows
+    without an id stay, as nothing tells them apart from a document that is kept.
     """
-    found = near_duplicates(docs, max_bits, width, seed)
+    found = stored(near_duplicates(docs, max_bits, width, seed), "simhash-found")
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
+    if share is not None:
+        roots = stored(components(near_copies(docs, gone, share)), "simhash-copies")
+        gone = gone.unionByName(roots.select(F.col("node").alias("doc_id")))
     left = docs.join(gone, "doc_id", "left_anti")
-    twice = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("strandline_n")).filter("strandline_n > 1")
-    again = left.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice.select("doc_id"), "doc_id", "left_anti").unionByName(again.select(*left.columns)).select(*docs.columns)
+    twice = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if twice.limit(1).count():
+        again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        left = left.join(twice, "doc_id", "left_anti").unionByName(again.select(*left.columns))
+    return left.select(*docs.columns)

@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from xxhash import xxh64_intdigest
 
-from strandline.llm import simhash
+from strandline.llm import passages, simhash
 
 from .helpers import ODD, ascii_words, documents
 
@@ -92,6 +92,32 @@ def test_keep_one_keeps_rows_whole(spark):
     assert ids.count(None) == 2
 
 
+def test_near_copies_with_several_edits_go(spark):
+    pick = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(900)]
+    docs, kin, passage = [], {}, " ".join(pick.choices(vocabulary, k=60))
+    for k in range(40):
+        w = pick.choices(vocabulary, k=pick.choice([12, 30, 90, 250, 700]))
+        if k % 4 == 0:
+            w[len(w) // 2 : len(w) // 2] = passage.split()
+        docs.append((k, " ".join(w)))
+        for j in (1, 2):
+            x = list(w)
+            for at in pick.sample(range(len(x)), len(x) // 60):
+                x[at] = "changed"
+            kin[100 * j + k] = k
+            docs.append((100 * j + k, " ".join([*x, "end"])))
+    d = documents(spark, [(i, t, "en", "a", 1) for i, t in docs])
+    texts = dict(docs)
+    near = {i for i, k in kin.items() if passages.similarity(texts[i], texts[k]) >= 0.8}
+    assert len(near) > 60
+    left = {r.doc_id for r in simhash.keep_one(d).collect()}
+    assert set(range(40)) <= left and len(near & left) <= 0.02 * len(near)
+    assert not any(passages.similarity(texts[i], texts[k]) < 0.6 and i not in left for i, k in kin.items())
+    found = [(r.u, r.v) for r in passages.near_copies(d, d.select("doc_id").limit(0)).collect()]
+    assert found and all(passages.similarity(texts[u], texts[v]) >= 0.8 for u, v in found)
+
+
 def test_long_chain_is_one_component(spark):
     from strandline.llm.components import components
 
