@@ -64,19 +64,21 @@ def transcript_statistics(cues: DataFrame, part: Sequence[str], order: Sequence[
     """One row a transcript: cues, longest_run, adjacent, dominant text and count, punctuation_only, bad cues and the first five of them."""
     w = Window.partitionBy(*part).orderBy(*order)
     c = cues.select(*part, F.row_number().over(w).alias("_rn"), X.collapse(F.col(text)).alias("_t"), X.quality_error(F.col(text), script, ratio).alias("_bad"), F.col(order[0]).alias("_idx"))
+    # The first five bad cues are known by a running count, so no more than five are gathered.
+    c = c.withColumn("_nth", F.count("_bad").over(Window.partitionBy(*part).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)))
     c = islands(c, F.col("_t"), part, ["_rn"])
     per_text = c.groupBy(*part, "_t").agg(
         F.count("*").alias("_n"), F.min("_rn").alias("_first"), F.max("_run").alias("_longest"), F.countDistinct("_island").alias("_islands"),
         F.max(X.punctuation_only(F.col("_t"))).alias("_punct"),
         F.count("_bad").alias("_bads"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("_bad").isNotNull() & (F.col("_rn") <= 1 << 30), F.struct("_rn", "_idx", "_bad")))), 1, 5).alias("_some"),
+        F.collect_list(F.when(F.col("_bad").isNotNull() & (F.col("_nth") <= 5), F.struct("_rn", "_idx", "_bad"))).alias("_some"),
     )
     lead = F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"))
     t = per_text.groupBy(*part).agg(
         F.sum("_n").alias("cues"), F.max("_longest").alias("longest_run"), F.sum(F.col("_n") - F.col("_islands")).alias("adjacent"),
         F.min_by("_t", lead).alias("dominant_text"), F.max("_n").alias("dominant_count"),
         F.sum(F.when(F.col("_punct"), F.col("_n")).otherwise(0)).alias("punctuation_only"), F.sum("_bads").alias("bad_cues"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, 5).alias("_first_bad"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.size("_some") > 0, F.col("_some"))))).alias("_first_bad"),
     )
     preview = F.array_join(F.transform("_first_bad", lambda b: F.concat(b["_idx"].cast("string"), F.lit(": "), b["_bad"])), ", ")
     return t.withColumn("bad_preview", preview).drop("_first_bad")

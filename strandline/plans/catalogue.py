@@ -174,6 +174,21 @@ def foreground_filter(spark, d):
     return kept.select("vec_id", "seq", F.round("dbfs", 6).alias("dbfs"))
 
 
+def segment_cues(spark, d):
+    """Lines as segments of up to 12 s: stock phrases, bad texts, empty spans and bursts go, the rest is numbered and timed."""
+    s = _lines(spark, d).select("doc_id", F.col("pos").alias("seq"), (F.col("pos") * 2.0).alias("start"), (F.col("pos") * 2.0 + F.col("pos") % 13).alias("end"), "text")
+    cues = segments.to_cues(s, ["doc_id"], ["seq"], Settings(script=DIGITS), phrases=("LicensedunderCCBY-NC40", "Allrightsreserved"), ratio=_none())
+    return cues.select("doc_id", F.col("idx").cast("bigint").alias("idx"), "timing", "text")
+
+
+def rescue_windows(spark, d):
+    """Purchases as loud intervals, clicks as segments: what is bare or weak is merged into windows of at most 15 s."""
+    e = _events(spark, d)
+    segs = e.filter("event_type = 'click'").select("user_id", "start", "end", (-F.col("value") / 50).alias("avg_logprob"))
+    whole = e.groupBy("user_id").agg(F.max("end").alias("duration"))
+    return intervals.rescue_intervals(e.filter("event_type = 'purchase'").select("user_id", "start", "end"), segs, ["user_id"], whole)
+
+
 # --- tracks, validation, provenance -------------------------------------------------------------------
 
 
@@ -238,6 +253,16 @@ def pending_work(spark, d):
     return provenance.pending(docs, done, ["doc_id"])
 
 
+def video_gate(spark, d):
+    """Conversations as media: aligned tracks, texts without long digit runs, and current provenance of both stages open the gate."""
+    s, t = _tracks(spark, d)
+    media = s.select("media_id").union(t.select("media_id")).distinct()
+    verdicts = sequences.transcript_quality(s, ["media_id"], ["idx"], media, script=Script(alien_run="[0-9]{2,}"), ratio=_none())
+    stages = F.explode(F.array(F.lit("transcription"), F.lit("translation")))
+    prov = media.select("media_id", stages.alias("stage")).withColumn("provenance", F.when((F.col("media_id") % 5 == 0) & (F.col("stage") == "translation"), "stale").otherwise("current"))
+    return gates.video_gate(media, align.alignment(s, t), verdicts, prov)
+
+
 def agreement_choice(spark, d):
     """Each benchmark item against the window of a document of the same number, both as retries of one interval."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.substring("text", 1, 120).alias("text"))
@@ -366,10 +391,10 @@ def carried_context(spark, d):
 _ALL = (
     line_cues, quality_text_rules, repetition_root, burst_filter, exact_burst_filter, transcript_quality, adjacent_context, context_window,
     decode_windows, chunk_windows, owned_segments, activity_merge, interval_coverage, capped_merge, rescue_merge,
-    frame_dbfs, clipping_ratio, interval_levels, foreground_filter,
+    frame_dbfs, clipping_ratio, interval_levels, foreground_filter, segment_cues, rescue_windows,
     pair_alignment, stacked_pairs, validation_report, srt_roundtrip, fingerprints, pending_work,
     agreement_choice, review_reasons, marker_parse, compression_ratio, media_names,
-    inventory_rollup, status_action, gate_current, translate_batches, selective_review,
+    inventory_rollup, status_action, gate_current, video_gate, translate_batches, selective_review,
     event_log_stream, chunk_stream, carried_context,
 )
 

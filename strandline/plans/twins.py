@@ -128,6 +128,14 @@ TWINS = {
       select vec_id, part, round(case when part = 4 then -120.0 else {_dbfs("x[part * 16 + 1 : part * 16 + 16]")} end, 6) as dbfs from p""",
     "foreground_filter": f"""with {_FRAMES}, h as (select vec_id, label, unnest([0, 1])::bigint as seq, x from f), l as (select vec_id, label, seq, {_dbfs("x[seq * 32 + 1 : seq * 32 + 32]")} as dbfs from h)
       select vec_id, seq, round(dbfs, 6) as dbfs from l where dbfs >= -18 or (dbfs >= -19 and -label / 10 >= -0.55 and label % 3 <> 0)""",
+    "segment_cues": f"""with {_JUDGED}, g as (select doc_id, pos, pos * 2.0::double as s, pos * 2.0::double + pos % 13 as e, {_COLLAPSE("text")} as text from judged where error is null),
+      k as (select * from g where e > s and not (regexp_replace(text, '[。.!！?？{SPACE}]', '', 'g') in ('LicensedunderCCBY-NC40', 'Allrightsreserved') and e - s >= 10)),
+      b as (select * from {_islands("text", "k", "doc_id", "pos")} where run < 4)
+      select doc_id, row_number() over (partition by doc_id order by pos) as idx, {_stamp("s")} || ' --> ' || {_stamp("e")} as timing, text from b""",
+    "video_gate": f"""with {_TRACKS}, a as (select media_id, bool_and({_FITS}) as aligned from {_PAIRS} group by media_id),
+      c as (select media_id, idx, {_SQUASH("text")} as c from s), r as (select * from {_runs("c", "media_id, idx", "c")}),
+      v as (select media_id, bool_and(c <> '' and coalesce(run, 1) < 12 and not regexp_matches(c, '[0-9]{{2,}}') and length(c) <= 120) as sound from c left join r using (media_id, idx) group by media_id)
+      select media_id, coalesce(aligned, false) and coalesce(sound, false) and media_id % 5 <> 0 as open from a left join v using (media_id)""",
     "pair_alignment": f"with {_TRACKS} select media_id, count(*) as pairs, bool_and({_FITS}) as aligned from {_PAIRS} group by media_id",
     "stacked_pairs": f"""with {_TRACKS}, g as (select media_id from {_PAIRS} group by media_id having bool_and({_FITS}))
       select media_id, idx, s.timing as timing, {_STRIP("t.text")} || chr(10) || {_STRIP("s.text")} as text from {_PAIRS} where media_id in (from g)""",
