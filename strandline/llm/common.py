@@ -12,6 +12,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
+
+__all__ = ["SPACE", "WORD", "ascii_lower", "count_words", "crc_mod", "let", "shared_dir", "ship", "stored", "sweep", "table", "words"]
+
 #: ASCII white space, the separator of words in every contract of this package.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -35,10 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/strandline/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the intermediates of this application, once results that are read from them have been written."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,21 +80,3 @@ def count_words(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package also where it isn't installed: the session serves a zip of it, once."""
-    import os
-    import zipfile
-    from pathlib import Path
-
-    sc = spark.sparkContext
-    if getattr(sc, "_strandline_shipped", False):
-        return
-    home = Path(__file__).resolve().parents[1]
-    name = os.path.join(tempfile.mkdtemp(), "strandline_workers.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for f in sorted(home.rglob("*.py")):
-            z.write(f, f.relative_to(home.parent).as_posix())
-    sc.addPyFile(name)
-    sc._strandline_shipped = True

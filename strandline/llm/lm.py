@@ -137,11 +137,9 @@ def _requests(blocks: DataFrame, order: int, bits: int) -> DataFrame:
             for level, (key, valid) in enumerate(_grams(ids, starts, dictionary, order), 1):
                 keys, place = np.unique(key[valid], return_inverse=True)
                 counts = np.bincount(place, weights=train[valid], minlength=len(keys)).astype("<u4")
-                cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for p in range(1 << bits):
-                    a, b = cuts[p], cuts[p + 1]
-                    if b > a:
-                        out.append((p, row["block"], level, _pack(keys[a:b]), _pack(counts[a:b])))
+                parts, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+                for p, a, b in zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
+                    out.append((p, row["block"], level, _pack(keys[a:b]), _pack(counts[a:b])))
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["part", "block", "level", "keys", "counts"])
 
@@ -269,7 +267,7 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, held_out=No
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     blocks = stored(rows.mapInArrow(_encode, _BLOCK), "lm-blocks")
     n, tokens = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    bits = max(2, min(16, (tokens // PART_TOKENS).bit_length()))
+    bits = max(2, min(24, (tokens // PART_TOKENS).bit_length()))
     answers = stored(_answers(_requests(blocks, order, bits)), "lm-answers")
     types = answers.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
     own = answers.groupBy("block").agg(F.collect_list(F.struct("level", "part", "totals")).alias("answers"))

@@ -90,12 +90,12 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], name: str) -> DataFra
     """The rows of ``docs`` (with a text) with columns tokenizer and tokens, twice: for words, and for byte pairs.
 
     The vocabulary, of bounded size, is broadcast from the driver, so executors need no file.  A null
-    text has no tokens.
+    text has no tokens.  Columns of ``docs`` with the names of results or counts are left out.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(ranks)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "words", "pairs", "tokenizer", "tokens")]
     counted = docs.select(*keep, count_words(F.col("text")).alias("words"), "text")
     schema = counted.drop("text").withColumn("pairs", F.lit(0).cast("long")).schema
 

@@ -23,7 +23,7 @@ def brute(rows):
 
 def test_insert_delete_revise_and_replay(spark):
     ranks = T.read_ranks()
-    counted = T.count_tokens(documents(spark, clash=("tokens_", "words", "pairs")).drop("words", "pairs"), ranks, "bpe")
+    counted = T.count_tokens(documents(spark, clash=("tokens", "words", "pairs", "tokenizer", "revised")), ranks, "bpe")
     rollup = T.fresh(spark)
     assert totals(rollup) == {}
     assert rollup.commit("one", T.insert(counted)) and totals(rollup) == brute(ODD)
