@@ -18,6 +18,11 @@ WORD = r"\p{L}\p{N}_"
 KANA_CJK = r"\x{3040}-\x{30ff}\x{4e00}-\x{9fff}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squash(text: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(text, f"[{SPACE}]+", "")
@@ -27,9 +32,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def blank(text: Column) -> Column:
+    """Nothing but white space; cheaper than stripping, as it stops at the first other character."""
+    return ~text.rlike(f"[^{SPACE}]")
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none is left at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"[{SPACE}]+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def longest_run(compact: Column) -> Column:
@@ -64,30 +74,39 @@ def quality_error(text: Column, script: Script = Script(), ratio: Column | None
     ``ratio`` is the compression ratio of the squashed text, by default computed; pass a null literal
     to leave that rule out and stay within the JVM.
     """
-    compact = squash(text)
-    run, alien, n = longest_run(compact), first_match(compact, script.alien_run), F.length(compact)
     # Only texts of 40 characters and more can break the rule on compression, so no others go to Python.
-    packed = zlib_ratio(F.when(n >= 40, compact)) if ratio is None else ratio
-    return (
-        F.when(compact == "", F.lit("empty cue"))
-        .when(run >= 12, F.concat(F.lit("single character repeated "), run.cast("string"), F.lit(" times")))
-        .when(alien != "", F.concat(F.lit("unexpected Latin text in Japanese transcript: '"), alien, F.lit("'")))
-        .when((n >= 40) & (packed > 2.8), F.concat(F.lit("highly repetitive text (compression ratio "), F.format_string("%.1f", packed), F.lit(")")))
-        .when(n > 120, F.concat(F.lit("implausibly long cue ("), n.cast("string"), F.lit(" characters)")))
-    )
+    packed = zlib_ratio(F.when(F.length(squash(text)) >= 40, squash(text))) if ratio is None else ratio
+
+    def judge(x: Column) -> Column:
+        compact, packed, n = x["compact"], x["packed"], F.length(x["compact"])
+        # A run of twelve is sought before the longest is measured, which few texts need.
+        repeated = let(longest_run(compact), lambda run: F.concat(F.lit("single character repeated "), run.cast("string"), F.lit(" times")))
+        alien = first_match(compact, script.alien_run)
+        return (
+            F.when(compact == "", F.lit("empty cue"))
+            .when(compact.rlike(r"(?s)(.)\1{11}"), repeated)
+            .when(compact.rlike(script.alien_run), F.concat(F.lit("unexpected Latin text in Japanese transcript: '"), alien, F.lit("'")))
+            .when((n >= 40) & (packed > 2.8), F.concat(F.lit("highly repetitive text (compression ratio "), F.format_string("%.1f", packed), F.lit(")")))
+            .when(n > 120, F.concat(F.lit("implausibly long cue ("), n.cast("string"), F.lit(" characters)")))
+        )
+
+    return let(F.struct(squash(text).alias("compact"), packed.alias("packed")), judge)
 
 
 def repetition_root(text: Column, widest: int = 8) -> Column:
     """The shortest unit of 1 to ``widest`` characters that repeats to the whole lower-cased word text."""
-    compact = F.lower(F.regexp_replace(text, f"[^{WORD}{KANA_CJK}]", ""))
-    n = F.length(compact)
-    unit = lambda w: F.substring(compact, F.lit(1), w)
-    fits = lambda w: (w <= n) & (n % w == 0) & (F.repeat(unit(w), F.floor(n / w).cast("int")) == compact)
-    # a chain of when stops at the first width that fits
-    out = F.when(n == 0, compact)
-    for w in range(1, widest + 1):
-        out = out.when(fits(F.lit(w)), unit(F.lit(w)))
-    return out.otherwise(compact)
+
+
+    def root(compact: Column) -> Column:
+        n = F.length(compact)
+        out = F.when(n == 0, compact)
+        for w in range(1, widest + 1):  # a chain of when stops at the first width that fits
+            unit = F.left(compact, F.lit(w))
+            # a text repeats with period w if it equals itself moved by w
+            out = out.when((n >= w) & (n % w == 0) & compact.endswith(unit) & (F.left(compact, n - w) == F.substring(compact, F.lit(w + 1), n)), unit)
+        return out.otherwise(compact)
+
+    return let(F.lower(F.regexp_replace(text, f"[^{WORD}{KANA_CJK}]+", "")), root)
 
 
 def punctuation_only(text: Column) -> Column:

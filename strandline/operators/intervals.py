@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def merge_gaps(intervals: DataFrame, part: Sequence[str], gap: float = 0.2, least: float = 0.2, start: str = "start", end: str = "end") -> DataFrame:
     """Join intervals with at most ``gap`` between them, in order, and keep those of at least ``least``.
@@ -83,31 +85,35 @@ def rescue_merge(primary: DataFrame, candidates: DataFrame, part: Sequence[str],
     """Fold candidates into primary segments (part, seq, start, end, text, avg_logprob), in order.
 
     A candidate that overlaps none is added, and seen by later ones; one that overlaps just one replaces
-    it if that is weak and the candidate better; others are dropped.  The result goes by start, then end.
-    The list changes as it is scanned, so a group is folded as a whole; a group is one medium's chunk.
+    it if that is weak and the candidate better; others are dropped.  The list changes as it is
+    scanned, so a group is folded as a whole; a group is one medium's chunk.
     """
-    fields = ["seq", "start", "end", "text", "avg_logprob"]
+    fields = ["start", "end", "seq", "text", "avg_logprob"]
     base = primary.select(*part, F.lit(0).alias("_side"), *fields).unionByName(candidates.select(*part, F.lit(1).alias("_side"), *fields))
-    schema = base.drop("_side").schema
-
-    def fold(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["_side", "seq"], kind="stable")
-        prob = lambda r: -99.0 if pd.isna(r["avg_logprob"]) else r["avg_logprob"]
-        rows = pdf.to_dict("records")
-        kept = [r for r in rows if r["_side"] == 0]
-        for c in (r for r in rows if r["_side"] == 1):
-            hits = []
-            for k, e in enumerate(kept):
-                common = max(0.0, min(c["end"], e["end"]) - max(c["start"], e["start"]))
-                if common >= share * max(0.1, min(c["end"] - c["start"], e["end"] - e["start"])):
-                    hits.append(k)
-            if not hits:
-                kept.append(c)
-            elif len(hits) == 1 and prob(kept[hits[0]]) < flag and prob(c) > prob(kept[hits[0]]) + better:
-                kept[hits[0]] = c
-        kept.sort(key=lambda r: (r["start"], r["end"]))
-        return pd.DataFrame(kept, columns=pdf.columns)[[f.name for f in schema]]
-
-    return base.groupBy(*part).applyInPandas(fold, schema)
+    one = F.struct(*(F.col(f).cast(base.schema[f].dataType).alias(f) for f in fields))
+    kind = f"array<{one_type(base, fields)}>"
+    ordered = F.array_sort(F.collect_list(F.struct("_side", "seq", one.alias("r"))))
+    rows = base.groupBy(*part).agg(ordered.alias("_all"))
+    side = lambda k: F.transform(F.filter("_all", lambda x: x["_side"] == k), lambda x: x["r"])
+    prob = lambda x: F.coalesce(x["avg_logprob"], F.lit(-99.0))
+
+    def meets(c: Column, e: Column) -> Column:
+        common = F.greatest(F.lit(0.0), F.least(c["end"], e["end"]) - F.greatest(c["start"], e["start"]))
+        return common >= F.greatest(F.lit(0.1), F.least(c["end"] - c["start"], e["end"] - e["start"])) * share
+
+    def step(kept: Column, c: Column) -> Column:
+        hits = F.filter(F.transform(kept, lambda e, k: F.when(meets(c, e), k)), lambda k: k.isNotNull())
+
+        def decide(at: Column) -> Column:
+            old = F.get(kept, at[0])
+            wins = (F.size(at) == 1) & (prob(old) < flag) & (prob(c) > prob(old) + better)
+            return F.when(F.size(at) == 0, F.array_append(kept, c)).when(wins, F.transform(kept, lambda e, k: F.when(k == at[0], c).otherwise(e))).otherwise(kept)
+
+        return let(hits, decide).cast(kind)
+
+    folded = rows.select(*part, F.explode(F.aggregate(side(1), side(0).cast(kind), step)).alias("r"))
+    return folded.select(*part, "r.seq", "r.start", "r.end", "r.text", "r.avg_logprob")
+
+
+def one_type(rows: DataFrame, fields: Sequence[str]) -> str:
+    return "struct<" + ",".join(f"{f}:{rows.schema[f].dataType.simpleString()}" for f in fields) + ">"

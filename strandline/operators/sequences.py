@@ -11,10 +11,14 @@ from ..functions import text as X
 from ..settings import Script
 
 
-def islands(rows: DataFrame, value: Column, part: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``rows`` with _value, _island (numbered in order) and _run, the number of rows of the island."""
+def islands(rows: DataFrame, value: Column, part: Sequence[str], order: Sequence[str], dealt: bool = False) -> DataFrame:
+    """``rows`` with _value, _island (numbered in order) and _run, the number of rows of the island.
+
+    The value is computed after the one exchange, by the tasks that go on with it; ``dealt`` says that
+    rows are dealt out by ``part`` already.
+    """
     w = Window.partitionBy(*part).orderBy(*order)
-    r = rows.withColumn("_value", value)
+    r = (rows if dealt else rows.repartition(*part)).withColumn("_value", value)
     r = r.withColumn("_new", F.when(F.col("_value").eqNullSafe(F.lag("_value").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
     r = r.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     return r.withColumn("_run", F.count("*").over(Window.partitionBy(*part, "_island")))
@@ -22,8 +26,8 @@ def islands(rows: DataFrame, value: Column, part: Sequence[str], order: Sequence
 
 def drop_bursts(rows: DataFrame, part: Sequence[str], order: Sequence[str], text: str = "text", least: int = 4, longest_root: int = 6) -> DataFrame:
     """Without runs of ``least`` or more rows that share a short repetition root; blank rows go first and split no run."""
-    root = X.repetition_root(X.strip(F.coalesce(F.col(text), F.lit(""))))
-    r = islands(rows.withColumn("_root", root).filter(F.col("_root") != ""), F.col("_root"), part, order)
+    root = X.repetition_root(F.coalesce(F.col(text), F.lit("")))
+    r = islands(rows.repartition(*part).withColumn("_root", root).filter(F.col("_root") != ""), F.col("_root"), part, order, dealt=True)
     return r.filter(~((F.col("_run") >= least) & (F.length("_root") <= longest_root))).select(*rows.columns)
 
 
@@ -63,10 +67,11 @@ def neighbours(rows: DataFrame, part: Sequence[str], order: Sequence[str], text:
 def transcript_statistics(cues: DataFrame, part: Sequence[str], order: Sequence[str], text: str = "text", script: Script = Script(), ratio: Column | None = None) -> DataFrame:
     """One row a transcript: cues, longest_run, adjacent, dominant text and count, punctuation_only, bad cues and the first five of them."""
     w = Window.partitionBy(*part).orderBy(*order)
+    cues = cues.repartition(*part)
     c = cues.select(*part, F.row_number().over(w).alias("_rn"), X.collapse(F.col(text)).alias("_t"), X.quality_error(F.col(text), script, ratio).alias("_bad"), F.col(order[0]).alias("_idx"))
     # The first five bad cues are known by a running count, so no more than five are gathered.
     c = c.withColumn("_nth", F.count("_bad").over(Window.partitionBy(*part).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)))
-    c = islands(c, F.col("_t"), part, ["_rn"])
+    c = islands(c, F.col("_t"), part, ["_rn"], dealt=True)
     per_text = c.groupBy(*part, "_t").agg(
         F.count("*").alias("_n"), F.min("_rn").alias("_first"), F.max("_run").alias("_longest"), F.countDistinct("_island").alias("_islands"),
         F.max(X.punctuation_only(F.col("_t"))).alias("_punct"),

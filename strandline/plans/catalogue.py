@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return rows.filter(X.strip(F.col("text")) != "")
+    return rows.filter(~X.blank(F.col("text")))
 
 
 def _seconds(ts: str) -> Column:
