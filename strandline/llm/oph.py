@@ -80,7 +80,7 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(corrected)
 
 
-def fingerprint_next(docs: DataFrame, rows_a_range: int = 1_000) -> DataFrame:
+def fingerprint_next(docs: DataFrame, rows_a_range: int = 250) -> DataFrame:
     """Fingerprints of every row, of its edited text, and their likeness to each other and to the next row's.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  The next
