@@ -118,6 +118,50 @@ def test_near_copies_with_several_edits_go(spark):
     assert found and all(passages.similarity(texts[u], texts[v]) >= 0.8 for u, v in found)
 
 
+def edited(pick, n, words, at=1):
+    """Copies of ``words`` with ``at`` different words edited each."""
+    return [" ".join(f"x{c}" if k in where else w for k, w in enumerate(words)) for c in range(n) for where in [set(pick.sample(range(len(words)), at))]]
+
+
+def brute_copies(texts, links=()):
+    near = [(a, b) for a, b in combinations(texts, 2) if passages.similarity(texts[a], texts[b]) >= 0.8]
+    return brute_components(texts, [*near, *links])
+
+
+def test_near_copies_span_what_brute_force_links(spark):
+    pick = random.Random(5)
+    words = lambda n: [f"v{k}" for k in pick.sample(range(10**6), n)]
+    texts = []
+    for size in (60, 60, 200):
+        base = words(size)
+        texts += [" ".join(base), *edited(pick, 100, base, size // 60)]
+    chain = words(300)
+    for k in range(60):
+        chain[pick.randrange(300)] = f"r{k}"
+        texts.append(" ".join(chain))
+    passage = words(90)
+    texts += [" ".join([*passage, *words(pick.choice([4, 8, 12, 20, 60]))]) for _ in range(150)]
+    texts += ["a b", "a b", "a b c", "", None]
+    pick.shuffle(texts)
+    texts = dict(enumerate(texts))
+    d = documents(spark, [(i, t, "en", "a", 1) for i, t in texts.items()])
+    found = [(r.u, r.v) for r in passages.near_copies(d, d.select("doc_id").limit(0)).collect()]
+    blank = [i for i, t in texts.items() if not t]
+    want = brute_copies({i: t for i, t in texts.items() if t})
+    assert brute_components(texts, found) == want | {i: i for i in blank}
+    assert all(passages.similarity(texts[u], texts[v]) >= 0.8 for u, v in found)
+
+
+def test_original_amid_its_copies_leaves_one(spark):
+    pick = random.Random(1)
+    base = [f"v{k}" for k in range(60)]
+    copies = edited(pick, 100, base)
+    texts = dict(enumerate([*copies[:50], " ".join(base), *copies[50:]]))
+    left = {r.doc_id for r in simhash.keep_one(documents(spark, [(i, t, "en", "a", 1) for i, t in texts.items()])).collect()}
+    assert left == {i for i, r in brute_copies(texts).items() if i == r}
+    assert len(left) == 1
+
+
 def test_long_chain_is_one_component(spark):
     from strandline.llm.components import components
 
