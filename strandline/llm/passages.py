@@ -142,10 +142,11 @@ def _verified(docs: DataFrame, pair: DataFrame, share: float) -> DataFrame:
     return stored(met.mapInArrow(verify, "u long, v long"), "passage-links")
 
 
-def near_copies(docs: DataFrame, gone: DataFrame, share: float = SHARE) -> DataFrame:
+def near_copies(docs: DataFrame, gone: DataFrame | None = None, share: float = SHARE, known: DataFrame | None = None) -> DataFrame:
     """(u, v) of verified near copies that span all groups of near copies among the rows of ``docs`` whose id isn't in ``gone`` (doc_id).
 
-    Any two near copies are linked, directly or over others.  Rows without an id or without words take no part.
+    Any two near copies are linked, directly or over others, be it by the links ``known`` (u, v), which aren't
+    repeated.  Rows without an id or without words take no part.
     """
     # the least overlap of near copies of sizes a and b, and whether the sizes allow it
     need = lambda a, b: share / (1 + share) * (a + b) - 1e-6
@@ -153,7 +154,8 @@ def near_copies(docs: DataFrame, gone: DataFrame, share: float = SHARE) -> DataF
     ends = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     fits = lambda a, b: 1 + F.least(a["m"] - 1 - a["i"], b["m"] - 1 - b["i"]) >= need(a["m"], b["m"])
 
-    cut = stored(keys(docs, share, common_shingles(docs)).join(gone, "doc_id", "left_anti"), "passages")
+    cut = keys(docs, share, common_shingles(docs))
+    cut = stored(cut if gone is None else cut.join(gone, "doc_id", "left_anti"), "passages")
     first = cut.groupBy("same").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
     equal = stored(cut.select("doc_id", "same").join(first, "same").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v", "same").distinct(), "passage-equals")
     own = cut.join(equal.select(F.col("u").alias("doc_id"), "same"), ["doc_id", "same"], "left_anti")
@@ -169,7 +171,8 @@ def near_copies(docs: DataFrame, gone: DataFrame, share: float = SHARE) -> DataF
     near = _verified(docs, pair.filter(F.col("n") * 40 * SHARE >= F.col("m") * (1 - share)).select("u", "v"), share)
 
     spanned = equal.select("u", "v").unionByName(near)
-    return spanned.unionByName(_verified(docs, _across(met, spanned, need, sized, fits, ends, share), share))
+    linked = spanned if known is None else spanned.unionByName(known)
+    return spanned.unionByName(_verified(docs, _across(met, linked, need, sized, fits, ends, share), share))
 
 
 def _across(met: DataFrame, linked: DataFrame, need, sized, fits, ends, share: float) -> DataFrame:

@@ -11,8 +11,8 @@
    buckets of at most 65: each one is sent to its own value and the 64 values one bit away; two
    fingerprints share such a value if and only if they differ in at most two bits.
 5. ``near_duplicates``: connected components over one representative for each distinct fingerprint.
-6. ``keep_one``: what is left of those groups is searched for near copies with more edits, whose
-   fingerprints lie too far apart for any grid: see ``passages``.
+6. ``keep_one``: all documents are searched for near copies with more edits too, whose fingerprints lie
+   too far apart for any grid (see ``passages``), and grouped by both kinds of links at once.
 """
 
 from __future__ import annotations
@@ -131,15 +131,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: in
 def keep_one(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: int = 42, share: float | None = SHARE) -> DataFrame:
     """The rows of ``docs`` with one document of each group left: the one with the least doc_id.
 
-    Groups are those of ``near_duplicates``; what is left is then grouped by near copies of similarity
-    ``share`` that share passages (None: not).  Of repeated rows with an id that stays, one stays.  Rows
-    without an id stay, as nothing tells them apart from a document that is kept.
+    Groups are the components over the links of ``near_duplicates`` and those of near copies of similarity
+    ``share`` (None: without these), found among all documents, so groups that meet in a document that goes
+    are one.  Of repeated rows with an id that stays, one stays.  Rows without an id stay, as nothing tells
+    them apart from a document that is kept.
     """
     found = stored(near_duplicates(docs, max_bits, width, seed), "simhash-found")
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    if share is not None:
-        roots = stored(components(near_copies(docs, gone, share)), "simhash-copies")
-        gone = gone.unionByName(roots.select(F.col("node").alias("doc_id")))
+    linked = found.filter("doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct()
+    if share is None:
+        gone = linked.select(F.col("u").alias("doc_id"))
+    else:
+        linked = stored(linked, "simhash-linked")
+        roots = stored(components(linked.unionByName(near_copies(docs, share=share, known=linked))), "simhash-copies")
+        gone = roots.select(F.col("node").alias("doc_id"))
     left = docs.join(gone, "doc_id", "left_anti")
     twice = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if twice.limit(1).count():

@@ -162,6 +162,21 @@ def test_original_amid_its_copies_leaves_one(spark):
     assert len(left) == 1
 
 
+def test_links_lead_through_rows_their_fingerprint_removes(spark):
+    pick = random.Random(4)
+    words, texts = [f"v{k}" for k in range(300)], []
+    for k in range(100):
+        words[pick.randrange(300)] = f"r{k}"
+        texts.append(" ".join(words))
+    pick.shuffle(texts)
+    texts = dict(enumerate(texts))
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    links = [(a, b) for a, b in combinations(texts, 2) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert links
+    left = {r.doc_id for r in simhash.keep_one(documents(spark, [(i, t, "en", "a", 1) for i, t in texts.items()])).collect()}
+    assert left == {i for i, r in brute_copies(texts, links).items() if i == r} and len(left) == 1
+
+
 def test_long_chain_is_one_component(spark):
     from strandline.llm.components import components
 
