@@ -263,14 +263,22 @@ def video_gate(spark, d):
     return gates.video_gate(media, align.alignment(s, t), verdicts, prov)
 
 
+def _segmented(texts: DataFrame, width: int = 100) -> DataFrame:
+    """Whole texts as segments of up to ``width`` characters, which the rule on long cues (over 120) lets pass."""
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / width).cast("int") - 1)), lambda k: F.substring(F.col("text"), k * width + 1, F.lit(width)))
+    return texts.select("k", F.posexplode(pieces).alias("seq", "text"), "avg_logprob")
+
+
 def agreement_choice(spark, d):
-    """Each benchmark item against the window of a document of the same number, both as retries of one interval."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.substring("text", 1, 120).alias("text"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.substring("text", 1, 100).alias("text"))
-    both = items.select("k", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.substring("text", 1, 50).alias("text")), F.struct(F.lit(2).alias("seq"), F.substring("text", 51, 50).alias("text")))).alias("x"))
-    primary = both.select("k", "x.seq", "x.text", (-(F.col("k") % 12) / 10).alias("avg_logprob"))
+    """Each benchmark item against the document of the same number, both whole, as retries of one interval.
+
+    Of the documents those take part whose number is that of an item.
+    """
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("k"), "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), "text")
+    primary = _segmented(items.withColumn("avg_logprob", -(F.col("k") % 12) / 10))
     mixed = F.when(F.col("i.k") % 3 == 0, F.col("i.text")).otherwise(F.col("d.text"))
-    specialist = items.alias("i").join(docs.alias("d"), F.col("i.k") == F.col("d.k")).select(F.col("i.k").alias("k"), F.lit(1).alias("seq"), mixed.alias("text"), (-(F.col("i.k") % 9) / 10).alias("avg_logprob"))
+    specialist = _segmented(items.alias("i").join(docs.alias("d"), F.col("i.k") == F.col("d.k")).select(F.col("i.k").alias("k"), mixed.alias("text"), (-(F.col("i.k") % 9) / 10).alias("avg_logprob")))
     levels = items.select("k", (F.lit(-20.0) - F.col("k") % 20).alias("dbfs"))
     return segments.choose(primary, specialist, levels, ["k"], Settings(script=DIGITS))
 
