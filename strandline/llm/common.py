@@ -6,15 +6,18 @@ driver and every executor, so losing an executor never loses an intermediate.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.workers import ship
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "count_words", "crc_mod", "let", "shared_dir", "ship", "stored", "sweep", "table", "words"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "count_words", "crc_mod", "let", "passing", "shared_dir", "ship", "stored", "sweep", "table", "words"]
 
 #: ASCII white space, the separator of words in every contract of this package.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -39,24 +42,51 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _delete(sc, path: str) -> None:
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _own(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/strandline/{spark.sparkContext.applicationId}"
+    """This application's folder for intermediates.  It is swept when the driver's Python ends while Spark still runs."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/strandline/{sc.applicationId}"
+    if not getattr(sc, "_strandline_swept", False):
+        sc._strandline_swept = True
+        atexit.register(lambda: sc._jsc and _delete(sc, path))
+    return path
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete the intermediates of this application, once results that are read from them have been written."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(spark.sparkContext, _own(spark))
+
 
+_made: list[list[str]] = []
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+
+def stored(df: DataFrame, name: str, passes: bool = True) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made and passes:
+        _made[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is ``stored`` inside goes when the block ends without an error, but for what is stored with ``passes=False``."""
+    _made.append([])
+    try:
+        yield
+        for path in _made[-1]:
+            _delete(spark.sparkContext, path)
+    finally:
+        _made.pop()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -19,21 +19,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents come in; toxic ones go; those of low quality are counted
     anew without their repeated lines; and the second batch is sent once more, which changes nothing.
 
-    Both versions of a text are counted in one pass over the documents, so no text is shuffled.
+    Both versions of a text are counted in one pass over the documents, so no text is shuffled.  A row's
+    versions say themselves whether the row has two, so what is deleted and what is inserted for a revision
+    come from the same rows, also where rows share an id.
     """
     ranks, name = token_counts.read_ranks(), "byte_bpe_50k-1"
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    version = lambda revised, text: F.struct(F.lit(revised).alias("revised"), text.alias("text"))
-    first, again = F.array(version(False, F.col("text"))), F.array(version(True, once))
-    versions = docs.select("doc_id", "source", "lang", F.inline(F.when(once != F.col("text"), F.concat(first, again)).otherwise(first)))
+    version = lambda state, text: F.struct(F.lit(state).alias("state"), text.alias("text"))
+    only, both = F.array(version("only", F.col("text"))), F.array(version("old", F.col("text")), version("new", once))
+    versions = docs.select("doc_id", "source", "lang", F.inline(F.when(once != F.col("text"), both).otherwise(only)))
     counted = stored(token_counts.count_tokens(versions, ranks, name), "token-counts")
-    first, low = counted.filter("not revised"), counted.filter("revised").join(labels.filter("quality = 0 and toxic = 0"), "doc_id")
+    first, low = counted.filter("state != 'new'"), counted.filter("state != 'only'").join(labels.filter("quality = 0 and toxic = 0"), "doc_id")
     rollup = token_counts.fresh(spark)
     rollup.commit("1-insert", token_counts.insert(first))
     rollup.commit("2-delete", gone := token_counts.delete(first.join(labels.filter("toxic = 1"), "doc_id")))
-    rollup.commit("3-revise", token_counts.revise(first.join(low.select("doc_id").distinct(), "doc_id"), low))
+    rollup.commit("3-revise", token_counts.revise(low.filter("state = 'old'"), low.filter("state = 'new'")))
     rollup.commit("2-delete", gone)
     return rollup.totals()
 

@@ -6,20 +6,21 @@ rows: +1 inserts a document's count, -1 deletes it, and a revision is the old co
 one inserted.  Totals are the sum of all commits, so they are never recomputed from documents.
 
 Commits are idempotent: a batch's rows are added up and written by Spark's own commit protocol under the
-batch's id, and a batch whose folder has its success mark is not written again.  A replay, or a retry
-after a lost executor or driver, therefore changes nothing.
+batch's id, and a batch whose folder has its success mark is not written again.  Totals read the folders
+with the mark only.  A replay, or a retry after a lost executor or driver, therefore changes nothing.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_words, shared_dir, ship
+from .common import count_words, _own, ship
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A fixed value: the pattern that cuts a text before byte pairs are merged, as published for this vocabulary.
@@ -35,20 +36,24 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _marks(self, batch: str) -> list[str]:
+        """The folders of the batches of that name, or of that pattern, that have their success mark."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}/_SUCCESS")
+        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        return sorted(x.getPath().getParent().toString() for x in found or [])
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
+        return bool(self._marks(batch))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch of signed rows (DELTA) once; False if it had been committed before.
 
         Null sources, languages and versions are groups like others; null counts add nothing.  An empty
-        batch is committed too.  Partial sums come before the shuffle, so no group is gathered.
+        batch is committed too.  Partial sums come before the shuffle, so no group is gathered.  Batches
+        are named by letters, digits, dots, dashes and underscores; ValueError for other names.
         """
+        if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9._-]*", batch):
+            raise ValueError(f"not a name for a batch: {batch!r}")
         if self.committed(batch):
             return False
         change = deltas.groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("documents"), F.coalesce(F.sum(F.col("sign") * F.col("tokens")), F.lit(0)).alias("tokens"))
@@ -56,18 +61,12 @@ class Rollup:
         return True
 
     def totals(self) -> DataFrame:
-        """The sums of all commits; groups that came to nothing are left out."""
-        parts = f"{self.path}/batch=*"
-        rows = self.spark.read.schema(CHANGE).parquet(parts) if self._any() else self.spark.createDataFrame([], CHANGE)
+        """The sums of all commits; groups that came to nothing are left out.  Batches without their mark don't count."""
+        parts = self._marks("*")
+        rows = self.spark.read.schema(CHANGE).parquet(*parts) if parts else self.spark.createDataFrame([], CHANGE)
         sums = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.filter("documents != 0 or tokens != 0")
 
-    def _any(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*")
-        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-        return found is not None and len(found) > 0
-
 
 def insert(counted: DataFrame) -> DataFrame:
     return counted.select("source", "lang", "tokenizer", F.lit(1).alias("sign"), "tokens")
@@ -115,4 +114,4 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], name: str) -> DataFra
 
 def fresh(spark: SparkSession) -> Rollup:
     """A rollup of its own below the session's shared folder."""
-    return Rollup(spark, f"{shared_dir(spark).rstrip('/')}/strandline/rollup-{uuid.uuid4().hex}")
+    return Rollup(spark, f"{_own(spark)}/rollup-{uuid.uuid4().hex}")

@@ -33,6 +33,18 @@ def test_stored_tables_are_swept(spark):
     assert not os.path.isdir(home)
 
 
+def test_what_passes_goes_and_what_stays_stays(spark):
+    with common.passing(spark):
+        gone = common.stored(spark.range(3), "gone")
+        kept = common.stored(gone, "kept", passes=False)
+    assert kept.count() == 3
+    assert not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
+    with pytest.raises(ZeroDivisionError), common.passing(spark):
+        left = common.stored(spark.range(3), "left")
+        1 / 0
+    assert left.count() == 3
+
+
 class _Cluster:
     class sparkContext:  # noqa: N801
         master = "spark://somewhere"

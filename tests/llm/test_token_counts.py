@@ -1,5 +1,8 @@
 from collections import Counter
 
+import pytest
+
+from strandline.llm import queries
 from strandline.llm import token_counts as T
 
 from .helpers import ODD, documents
@@ -57,3 +60,39 @@ def test_groups_that_come_to_nothing_go(spark):
     assert totals(rollup) == {("a", None, "t"): (1, 5), (None, None, None): (1, 0)}
     rollup.commit("out", one.selectExpr("source", "lang", "tokenizer", "-sign as sign", "tokens"))
     assert totals(rollup) == {}
+
+
+def lines_once(text):
+    return "\n".join(dict.fromkeys(text.split("\n")))
+
+
+def query(spark, folder, rows, labels):
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in queries.op2_token_counts(spark, str(folder)).collect()}
+
+
+def test_query_with_repeated_ids_and_odd_rows(spark, tmp_path):
+    repeated = [(1, "a a a", "en", "s", 5), (1, "b\nb\nb", "en", "s", 5), (2, "c", "en", "s", 1)]
+    rows = [*ODD, *repeated, (10, "x\nx", "en", "a", 3), (10, "x\nx", "en", "a", 3), (11, "bad\nbad", "de", None, 7), (12, "\n\n", "en", "a", 2)]
+    labels = [(1, 0, 0), (1, 1, 0), (2, 1, 0), (10, 0, 0), (11, 0, 1), (12, 0, 0), (7, None, 1), (8, 1, None), (None, 0, 0), (99, 0, 0)]
+    toxic = {i for i, _, x in labels if x == 1}
+    low = {i for i, q, x in labels if i is not None and q == 0} - toxic
+    left = [(i, lines_once(t) if i in low and t else t, *rest) for i, t, *rest in rows if i not in toxic]
+    want = {(s, lang, "byte_bpe_50k-1" if n == "bpe" else n): x for (s, lang, n), x in brute(left).items()}
+    assert query(spark, tmp_path, rows, labels) == want
+    assert want["s", "en", "words-1"] == (3, 5)
+
+
+def test_query_over_empty_tables(spark, tmp_path):
+    assert query(spark, tmp_path, [], []) == {}
+
+
+def test_a_batch_without_its_mark_does_not_count(spark):
+    rollup = T.fresh(spark)
+    rollup.commit("whole", spark.createDataFrame([("a", "en", "t", 1, 5)], T.DELTA))
+    spark.createDataFrame([("a", "en", "t", 100, 7)], T.CHANGE).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{rollup.path}/batch=torn")
+    assert totals(rollup) == {("a", "en", "t"): (1, 5)} and not rollup.committed("torn")
+    for name in ("", "*", "a/b", "x{1,2}", "..", "a b", None):
+        with pytest.raises((ValueError, TypeError)):
+            rollup.commit(name, spark.createDataFrame([], T.DELTA))
