@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import decontaminate, mixing, quality, sharding, simhash
-from strandline.llm.common import stored, table
+from strandline.llm.common import passing, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing(spark):  # what a stage stores on its way goes once its result is written
+            made = stage(spark, docs, sf_dir)
+            docs = stored(made, f"pipeline-{name}", passes=False)
     return docs
