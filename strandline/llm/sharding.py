@@ -5,7 +5,8 @@ hash draw from the row's id and the child's own name, an exponential one divided
 weight; the least draw wins, so a child is chosen in proportion to its weight.  Draws depend on
 nothing else: changing a weight moves rows only into or out of that child, and so only within
 subtrees whose weights changed.  A tree that grows by one shard gets it as a region of its own,
-which takes rows into that shard and moves no row between others.
+which takes rows into that shard and moves no row between others.  So how many shards a tree was first
+built for is part of it: ``base``, which stays when it grows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class Node:
 
 
 def topology(shards: int, weights: Sequence[float] | None = None, base: int = BASE_SHARDS) -> Node:
-    """The tree for so many shards: the first ``base`` in full regions, each further one in a region of its own."""
+    """The tree for so many shards: the first ``base`` in regions of racks, each further one in a region of its own."""
     leaves = [Node(f"shard{k}", k, weights[k] if weights else 1.0) for k in range(shards)]
     regions, size = [], SHARDS_A_RACK * RACKS_A_REGION
     for start in range(0, min(base, shards), size):
@@ -71,22 +72,27 @@ def descend(doc_id: Column, node: Node) -> Column:
     return let(F.least(*draws)["k"], down)
 
 
-def shard(docs: DataFrame, shards: int = 8, weights: Sequence[float] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, weights: Sequence[float] | None = None, base: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, grown_shard for every row of ``docs``.
 
+    The law is that of a key: id and number of shards decide, and ``grown_shard`` (one shard more) differs
+    from ``shard`` only in rows of the new one.  ``base`` is the number of shards that the tree was first
+    built for, by default all up to 8; give it when a tree has grown from fewer.
+
     ``slot`` counts from 0 without gaps within a shard, in the order of a hash of the id, then id, size and
     crc32: hash ranges of a shard are numbered each by itself and then moved by the rows before them, so a
     shard is never sorted by one task.  Null texts have no bytes; rows without an id share one way down.
     Repeated rows stay and get slots of their own.  Other columns of ``docs`` are ignored.
     """
     text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id")
-    grown = topology(shards + 1, [*weights, 1.0] if weights else None)
+    base = min(shards, BASE_SHARDS) if base is None else base
+    grown = topology(shards + 1, [*weights, 1.0] if weights else None, base)
     placed = stored(
         docs.select(
             "doc_id",
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            descend(doc_id, topology(shards, weights)).alias("shard"),
+            descend(doc_id, topology(shards, weights, base)).alias("shard"),
             descend(doc_id, grown).alias("grown_shard"),
             unit(doc_id, "slot").alias("at"),
         ),
