@@ -66,7 +66,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.schedule(table(spark, sf_dir, "documents"))
-    return found.select("row.doc_id", "size", "source_size", "target", "taken")
+    return found.select("row.doc_id", "size", "source_size", "target", "taken", F.round("finish", 9).alias("finish"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,17 +109,22 @@ _OP8 = r"""
 with d as (select doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::bigint as size,
        ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as key from documents),
      s as (select source, sum(size)::bigint as source_size from d group by source),
-     w as (select *, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w, source_size * 2.0::double as top from s),
+     r as (select *, row_number() over (order by source nulls last) as n from s),
+     w as (select *, [3.0, 1.0, 2.0][((n - 1) % 3 + 1)::int]::double as w, source_size * 2.0::double as top from r),
      l as (select *, row_number() over o as k,
        (sum(source_size) over () * 1.5::double - coalesce(sum(top) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) as level from w
        window o as (order by top / w, source nulls last), b as (order by top / w, source nulls last rows between unbounded preceding and 1 preceding)),
      f as (select min(k) as k, min_by(level, k) as level from l where top > level * w),
-     t as (select source, source_size, case when f.k is null or l.k < f.k then top else f.level * w end as target from l, f),
-     q as (select doc_id, size, source_size, target, floor(target + 0.5)::bigint as quota,
+     t as (select source, source_size, n, case when f.k is null or l.k < f.k then top else f.level * w end as target from l, f),
+     q as (select row_number() over () as nr, doc_id, size, source_size, target, n,
        (sum(size) over (partition by d.source order by key, doc_id, size rows unbounded preceding) - size)::bigint as start
-       from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)))::bigint as taken from q
+       from d join t on d.source is not distinct from t.source),
+     e as (select *, unnest([0, 1]) as epoch from q where size > 0 and target > 0),
+     p as (select *, unnest(range((size + 15) // 16)) as k from e),
+     g as (select nr, n, least(16, size - k * 16) as words, (start + epoch * source_size + k * 16 + least(16, size - k * 16))::double / target as finish from p),
+     c as (select nr, words, sum(words) over (order by finish, n rows unbounded preceding) - words as before from g),
+     x as (select nr, sum(greatest(0, least(words, (select floor(sum(source_size) * 1.5) from s) - before)))::bigint as taken from c group by nr)
+select doc_id, size, source_size, target, coalesce(taken, 0) as taken, case when target > 0 then round((start + size)::double / target, 9) end as finish from q left join x using (nr)
 """
 
 _OP10 = r"""

@@ -72,3 +72,50 @@ def test_odd_rows_and_empty_table(spark):
     assert mixing.schedule(documents(spark, [])).collect() == []
     assert mixing.mix(documents(spark, [])).collect() == []
     assert all(r.target == 0 for r in mixing.schedule(documents(spark, [(1, "", "en", "a", 0)])).collect())
+
+
+def plain_cut(rows, budget, packet, epochs=2):
+    """All packets of all rows in one list, sorted and cut: words taken by row."""
+    items, took = [], [0] * len(rows)
+    for nr, r in enumerate(rows):
+        for e in range(epochs if r.target > 0 else 0):
+            for at in range(0, r.size, packet):
+                w = min(packet, r.size - at)
+                items.append(((r.start + e * r.source_size + at + w) / r.target, r.rank, w, nr))
+    for _, _, w, nr in sorted(items):
+        took[nr] += (w := min(w, budget))
+        budget -= w
+    return took
+
+
+def test_the_cut_is_that_of_all_packets_sorted(spark):
+    pick = random.Random(4)
+    rows, start = [], {}
+    for _ in range(400):
+        rank, size = pick.choice([1, 1, 1, 2, 3, 4]), pick.choice([0, 1, 15, 16, 17, 90, 700])
+        rows.append([rank, size, start.get(rank, 0)])
+        start[rank] = start.get(rank, 0) + size
+    goal = {1: start[1] * 1.1, 2: start[2] * 2.0, 3: start[3] * 2.0, 4: 0.0}
+    d = spark.createDataFrame([(*r, start[r[0]], goal[r[0]]) for r in rows], "rank int, size long, start long, source_size long, target double").repartition(3)
+    shape, n = (mixing.RANGES, mixing.SORTED), int(sum(goal.values()))
+    try:
+        for budget in (0, 1, 5, n // 3, n - 1, n, 10 * n):
+            for packet in (1, 16, 1000):
+                # few ranges and little to sort, so the range of the cut is cut several times
+                mixing.RANGES, mixing.SORTED = ((4, 3), shape)[packet == 16]
+                at = mixing.cut(d, budget, packet=packet)
+                got = d.withColumn("taken", mixing.taken(at, packet=packet)).collect()
+                assert [r.taken for r in got] == plain_cut(got, budget, packet), (budget, packet)
+    finally:
+        mixing.RANGES, mixing.SORTED = shape
+
+
+def test_sources_come_within_a_packet_of_their_targets(spark, sf):
+    found = mixing.schedule(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    got, goal = {}, {}
+    for r in found:
+        got[r.source] = got.get(r.source, 0) + r.taken
+        goal[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(got[s] - goal[s]) <= mixing.PACKET for s in goal) and len(goal) > 5
+    assert sum(got.values()) == int(1.5 * sum(r.size for r in found))
