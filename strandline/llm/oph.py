@@ -80,36 +80,71 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(corrected)
 
 
+#: At most so many ranges of ids, and so many sampled rows a range to find where they begin.
+RANGES, SAMPLED = 1 << 16, 40
+
+
+def _order(rows: DataFrame) -> DataFrame:
+    """doc_id, text and the columns by which rows are ordered: has (an id or none), id, tie (a hash of the text)."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("doc_id").isNotNull().alias("has"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("tie"))
+
+
+def in_ranges(docs: DataFrame, rows_a_range: int = 250) -> DataFrame:
+    """The rows of ``_order`` with range, which grows with the order and holds about as many rows each time.
+
+    Ranges begin at quantiles of a sample, taken by a hash of id and text, of about SAMPLED rows a range, so
+    clustered ids and one id of many texts are split like others; only equal rows stay together.  Where a
+    row lies is found by a binary search over at most RANGES ends, which are a literal.
+    """
+    doc, n = _order(docs), docs.count()
+    ranges = max(1, min(RANGES, n // rows_a_range))
+    key = ["has", "id", "tie"]
+    some = doc.filter(F.pmod(F.xxhash64(*key), F.lit(max(1, n // (SAMPLED * ranges)))) == 0).groupBy(*key).agg(F.count("*").alias("n"))
+    ordered, whole = Window.orderBy(*key), Window.partitionBy()
+    run = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    some = some.select(*key, F.coalesce(F.floor(run * ranges / F.sum("n").over(whole)), F.lit(0)).alias("cell"))
+    ends = some.withColumn("old", F.lag("cell").over(ordered)).filter("cell > old").orderBy(*key).select(*key).collect()
+    if not ends:
+        return doc.withColumn("range", F.lit(0))
+    table = lambda k, kind: F.split(F.lit(",".join(str(int(e[k])) for e in ends)), ",").cast(f"array<{kind}>")
+    has, ids, ties = table("has", "int"), table("id", "bigint"), table("tie", "bigint")
+
+    def begun(k: Column) -> Column:
+        """Whether the row lies at the k-th end or behind it."""
+        h, i, t = F.get(has, k), F.get(ids, k), F.get(ties, k)
+        own = F.col("has").cast("int")
+        return (h < own) | ((h == own) & ((i < F.col("id")) | ((i == F.col("id")) & (t <= F.col("tie")))))
+
+    steps = F.lit([1 << k for k in reversed(range(len(ends).bit_length()))])
+    return doc.withColumn("range", F.aggregate(steps, F.lit(0), lambda at, s: F.when(begun(at + s - 1), at + s).otherwise(at)))
+
+
 def fingerprint_next(docs: DataFrame, rows_a_range: int = 250) -> DataFrame:
     """Fingerprints of every row, of its edited text, and their likeness to each other and to the next row's.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  The next
     row is that of the next greater id, the first one after the last; null ids come first, rows with one id
-    go by a hash of their texts; a lone row follows itself.  A null text is empty.  Ids are cut into ranges
-    of equal width, at most 65536, each with a copy of the next range's first row, so a row and its next one meet.
+    go by a hash of their texts; a lone row follows itself.  A null text is empty, an empty table gives no
+    rows, other columns are ignored.  Rows are dealt out by ranges of about as many rows each, every range
+    with a copy of the next one's first row, so a row and its next one meet.
     """
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = doc.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // max(1, min(1 << 16, n // rows_a_range))))
-    reach = F.coalesce(F.floor((F.col("doc_id") - low) / width).cast("long"), F.lit(-1))
-    doc = doc.select("*", reach.alias("range"), F.xxhash64("text").alias("tie"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie")
+    doc = in_ranges(docs, rows_a_range)
+    order = F.struct("has", "id", "tie")
     first = doc.groupBy("range").agg(F.min(order).alias("first"))
     whole = Window.partitionBy()
     before = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(whole))
-    first = F.broadcast(first.select(F.col("range").alias("r"), "first", before.alias("before")))  # at most 65537 rows
+    first = F.broadcast(first.select(F.col("range").alias("r"), "first", before.alias("before")))  # at most RANGES rows
     led = doc.join(first, F.col("range") == F.col("r"))
-    guest = F.when(order == F.col("first"), F.array(F.struct(F.lit(False).alias("guest"), F.col("range")), F.struct(F.lit(True).alias("guest"), F.col("before").alias("range"))))
-    led = led.select("doc_id", "text", "tie", F.explode(F.coalesce(guest, F.array(F.struct(F.lit(False).alias("guest"), F.col("range"))))).alias("at"))
-    led = led.select("doc_id", "text", "tie", "at.guest", "at.range")
-    onward = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
+    at = lambda guest, where: F.struct(F.lit(guest).alias("guest"), F.col(where).alias("range"))
+    led = led.select("doc_id", "text", "has", "id", "tie", F.inline(F.when(order == F.col("first"), F.array(at(False, "range"), at(True, "before"))).otherwise(F.array(at(False, "range")))))
+    onward = Window.partitionBy("range").orderBy("guest", "has", "id", "tie")
     led = led.withColumn("after", F.lead("text").over(onward))
     chars, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    led = led.select("range", "guest", "doc_id", "tie", "text", chars.cast("long").alias("n_chars"), F.concat(F.left("text", chars - half), F.left(F.coalesce("after", F.lit("")), half)).alias("edited"))
+    led = led.select("range", "guest", "doc_id", "has", "id", "tie", "text", chars.cast("long").alias("n_chars"), F.concat(F.left("text", chars - half), F.left(F.coalesce("after", F.lit("")), half)).alias("edited"))
     none = F.lit(None).cast("string")
     led = led.select(
-        "range", "guest", "doc_id", "tie", "n_chars", fingerprint(F.col("text")).alias("fingerprint"),
+        "range", "guest", "doc_id", "has", "id", "tie", "n_chars", fingerprint(F.col("text")).alias("fingerprint"),
         F.when(~F.col("guest"), fingerprint(F.col("edited"))).otherwise(none).alias("edited_fingerprint"),
         F.when(~F.col("guest"), F.sha2(F.col("edited").cast("binary"), 256)).otherwise(none).alias("edited_sha256"),
     )

@@ -75,3 +75,32 @@ def test_bins_hold_the_least_hash_and_empty_ones_copy(spark):
         probed = next(want[oph._probe(k, t, 8)] for t in range(99) if want[oph._probe(k, t, 8)] is not None)
         assert x == (want[k] if want[k] is not None else probed)
     assert d.select(oph.densify(oph.bin_minima(F.col("h"), 8), 8, probes=0)).first()[0] != [None] * 8
+
+
+def brute_ranges(found):
+    by = {}
+    for r in sorted(found, key=lambda r: (r.has, r.id, r.tie)):
+        by.setdefault(r.range, []).append(r)
+    assert list(by) == sorted(by)  # ranges follow the order
+    return by
+
+
+def test_ranges_hold_as_many_rows_however_ids_lie(spark):
+    pick = random.Random(6)
+    clustered = [2**60, -(2**62), *range(4000), *(10**12 + pick.randrange(10**4) * 10**3 for _ in range(4000))]
+    one_id = [(7, f"text {k}", "en", "a", 1) for k in range(4000)]
+    no_id = [(None, f"none {k}", "en", "a", 1) for k in range(3000)]
+    for docs in ([(i, "t", "en", "a", 1) for i in set(clustered)], one_id + [(k, "x", "en", "a", 1) for k in range(4000)], no_id + one_id):
+        by = brute_ranges(oph.in_ranges(documents(spark, docs), rows_a_range=100).collect())
+        mean = len(docs) / len(by)
+        assert len(by) > 0.8 * len(docs) / 100 and max(map(len, by.values())) < 2 * mean
+
+
+def test_one_id_with_different_texts_goes_by_their_hashes(spark):
+    docs = [(1, f"text number {k} of one id", "en", "a", 1) for k in range(60)] + [(None, f"none {k}", "en", "a", 1) for k in range(30)] + [(2, "z", "en", "a", 1)]
+    d = documents(spark, docs, clash=("has", "id", "tie", "first", "guest", "before", "range"))
+    tie = {r.text: r.tie for r in oph._order(d).collect()}
+    order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    want = sorted((repr(i), n, hashlib.sha256(e.encode()).hexdigest()) for i, n, e, *_ in brute(order))
+    for size in (3, 7, 1000):
+        assert sorted((repr(r.doc_id), r.n_chars, r.edited_sha256) for r in oph.fingerprint_next(d, rows_a_range=size).collect()) == want
