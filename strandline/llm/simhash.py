@@ -28,6 +28,8 @@ from .components import components
 from .passages import SHARE, near_copies
 
 _PAIRS = 0x5555555555555555
+#: Rows of a fingerprint beyond which they aren't gathered by it.
+HOT = 1_000_000
 
 
 def _long(x: int) -> int:
@@ -114,18 +116,37 @@ def links(distinct: DataFrame, max_bits: int = 2, crowd: int = 64) -> DataFrame:
     return pairs.unionByName(star.filter("u != v"))
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: int = 42, crowd: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: int = 42, crowd: int = 64, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``; component_id is the least doc_id reachable.
 
     Null and blank texts have fingerprint zero and link like any other.  Repeated rows stay repeated.
     A row without a doc_id gets the component of its fingerprint, null if no row with an id has it.
-    Other columns of ``docs`` are ignored, an empty table gives an empty result.
+    Other columns of ``docs`` are ignored, an empty table gives an empty result.  Rows of a fingerprint
+    that more than ``hot`` of them have, and one in 10,000, meet its component where they are.
     """
     fps = stored(fingerprints(docs, width, seed), "simhash-fp")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(distinct.filter("rep is not null"), max_bits, crowd))
-    home = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(home, "fp").select("doc_id", "fp", "component_id")
+    home = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n")
+    least = max(hot, fps.count() // 10_000)
+    out = ("doc_id", "fp", "component_id")
+    if not distinct.filter(F.col("n") > least).limit(1).count():
+        return fps.join(home, "fp").select(*out)
+    crowded = F.broadcast(stored(home.filter(F.col("n") > least), "simhash-hot"))  # fewer than 10,000 rows
+    rest = fps.join(crowded.select("fp"), "fp", "left_anti").join(home, "fp")
+    return fps.join(crowded, "fp").select(*out).unionByName(rest.select(*out))
+
+
+def _one_text_an_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with _node: the id, or a hash of id and text for the rows of an id that several texts share."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(text).alias("_a"), F.max(text).alias("_b")).filter("_a != _b").select("_id")
+    shared = stored(ids, "simhash-shared-ids")
+    own = F.col("doc_id").cast("long")
+    if not shared.limit(1).count():
+        return docs.withColumn("_node", own)
+    marked = docs.join(shared.withColumn("_shared", F.lit(True)), F.col("doc_id") == F.col("_id"), "left")
+    return marked.withColumn("_node", F.when(F.col("_shared"), F.xxhash64("doc_id", text)).otherwise(own)).drop("_id", "_shared")
 
 
 def keep_one(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: int = 42, share: float | None = SHARE) -> DataFrame:
@@ -133,20 +154,25 @@ def keep_one(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: int = 42,
 
     Groups are the components over the links of ``near_duplicates`` and those of near copies of similarity
     ``share`` (None: without these), found among all documents, so groups that meet in a document that goes
-    are one.  Of repeated rows with an id that stays, one stays.  Rows without an id stay, as nothing tells
-    them apart from a document that is kept.
+    are one.  Of repeated rows with an id that stays, one stays.  Rows of one id with different texts are
+    documents of their own, which one of a group stays is then a matter of their hashes.  Rows without an
+    id stay, as nothing tells them apart from a document that is kept.  Null and blank texts are one group;
+    an empty table stays empty; further columns are kept, whatever their names.
     """
-    found = stored(near_duplicates(docs, max_bits, width, seed), "simhash-found")
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    own = _one_text_an_id(own)
+    nodes = own.select(F.col("_node").alias("doc_id"), "text")
+    found = stored(near_duplicates(nodes, max_bits, width, seed), "simhash-found")
     linked = found.filter("doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct()
     if share is None:
-        gone = linked.select(F.col("u").alias("doc_id"))
+        gone = linked.select(F.col("u").alias("_node"))
     else:
         linked = stored(linked, "simhash-linked")
-        roots = stored(components(linked.unionByName(near_copies(docs, share=share, known=linked))), "simhash-copies")
-        gone = roots.select(F.col("node").alias("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti")
-    twice = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+        roots = stored(components(linked.unionByName(near_copies(nodes, share=share, known=linked))), "simhash-copies")
+        gone = roots.select(F.col("node").alias("_node"))
+    left = own.join(gone, "_node", "left_anti")
+    twice = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_node")).agg(F.count("*").alias("n")).filter("n > 1").select("_node")
     if twice.limit(1).count():
-        again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(twice, "doc_id", "left_anti").unionByName(again.select(*left.columns))
-    return left.select(*docs.columns)
+        again = left.join(twice, "_node", "left_semi").dropDuplicates(["_node"])
+        left = left.join(twice, "_node", "left_anti").unionByName(again.select(*left.columns))
+    return left.select("_row.*")

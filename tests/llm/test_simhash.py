@@ -183,3 +183,23 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(300)] + [(5, 5), (None, 3), (7, 6)], "u long, v long")
     found = components(edges).collect()
     assert {r.root for r in found} == {0} and sorted(r.node for r in found) == list(range(1, 301))
+
+
+def test_one_id_with_different_texts_loses_neither(spark):
+    words = lambda seed: " ".join(random.Random(seed).choices([f"w{k}" for k in range(5000)], k=80))
+    docs = [(1, words(1)), (1, words(2)), (2, words(1) + " end"), (3, words(3)), (3, words(3)), (4, words(2)), (5, words(5)), (5, words(6)), (5, words(6))]
+    d = documents(spark, [(i, t, "en", "a", 1) for i, t in docs], clash=("_node", "_row", "fp", "node", "_shared"))
+    left = simhash.keep_one(d)
+    assert left.columns == d.columns
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    # one text of each group, every text that stands alone, and no row twice
+    assert len(kept) == len(set(kept)) == 5
+    base = {t.removesuffix(" end") for _, t in kept}
+    assert base == {words(k) for k in (1, 2, 3, 5, 6)} and (3, words(3)) in kept
+
+
+def test_hot_fingerprints_meet_their_component_where_they_are(spark):
+    docs = [(k, "same words in every one of these" if k % 3 else f"row {k} of its own with other words", "en", "a", 1) for k in range(200)] + ODD
+    want = sorted(map(repr, simhash.near_duplicates(documents(spark, docs)).collect()))
+    for hot in (1, 50):
+        assert sorted(map(repr, simhash.near_duplicates(documents(spark, docs), hot=hot).collect())) == want
