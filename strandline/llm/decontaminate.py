@@ -17,13 +17,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored
 
 MASKS = ("111011", "101111")
 SHORT_MASKS, SHORT_ITEMS = ("111",), (6, 14)
 SHARE = 0.8
-#: Benchmarks of up to so many seeds are broadcast (16 bytes a seed); larger ones are joined by shuffle.
-BROADCAST_SEEDS = 1_000_000
+#: Tables of up to so many rows of a few numbers are broadcast: seeds of the benchmark, hits, keys of bad documents.
+#: Larger ones are joined by shuffle, seeds in so many shares of each, so that one in all documents is no single task.
+BROADCAST_SEEDS, SHARES = 1_000_000, 16
+#: Items are broadcast while their texts have so few bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -52,12 +55,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k_id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("k_text"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_SEEDS else rows
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks: Sequence[str] = MASKS) -> DataFrame:
     """k_id, k_text, doc_id, item_id, n_words, matched: the best overlap of each contaminated document and item.
 
     Every row of both tables takes part with its whole text.  Null or blank texts, and items of fewer than
-    six words, which are evidence of nothing, overlap with nothing.  Rows equal in id and text give one row; equal ids with other texts
-    give one each.  Items with a repeated id are told apart by their texts, and reported by id.
+    six words, which are evidence of nothing, overlap with nothing.  Rows equal in id and text give one row;
+    equal ids with other texts give one each, and rows without an id are told apart by their texts.  Items
+    with a repeated id are told apart by their texts, and reported by id.  Other columns are ignored; an
+    empty table on either side gives no rows.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).distinct()
     items = items.select("item_id", F.xxhash64("words").alias("i_key"), F.size("words").alias("n_words"), F.col("words").alias("i_words"))
@@ -69,16 +78,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks:
     if items.filter(F.col("n_words") <= most).limit(1).count():
         item_seeds = item_seeds.unionByName(own(items.filter(F.col("n_words") <= most), SHORT_MASKS))
         families.append(SHORT_MASKS)
-    small = item_seeds.count() <= BROADCAST_SEEDS
-    sized = F.broadcast if small else lambda d: d
     keyed = _keyed(docs)
     worded = keyed.select("k_id", "k_text", tokens(F.col("text")).alias("words"))
     mine = seeds(worded, ["k_id", "k_text"], families[0])
     for m in families[1:]:
         mine = mine.unionByName(seeds(worded, ["k_id", "k_text"], m))
-    hit = mine.join(sized(item_seeds), "seed").select("k_id", "k_text", "item_id", "i_key", (F.col("pos") - F.col("i_pos")).alias("off")).distinct()
-    both = keyed.join(hit, ["k_id", "k_text"]).select("k_id", "k_text", "doc_id", "item_id", "i_key", "off", tokens(F.col("text")).alias("d_words"))
-    both = both.join(sized(items), (both.i_key == items.i_key) & both.item_id.eqNullSafe(items.item_id)).select("k_id", "k_text", "doc_id", both.item_id, "n_words", "off", "d_words", "i_words")
+    if item_seeds.count() <= BROADCAST_SEEDS:
+        met = mine.join(F.broadcast(item_seeds), "seed")
+    else:
+        some = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+        met = mine.withColumn("share", F.pmod(F.xxhash64("k_id", "k_text", "pos"), F.lit(SHARES)).cast("int")).join(item_seeds.withColumn("share", some), ["seed", "share"])
+    hit = stored(met.select("k_id", "k_text", "item_id", "i_key", (F.col("pos") - F.col("i_pos")).alias("off")).distinct(), "seed-hits")
+    # hits are few, so they go to the texts and not the other way round
+    both = keyed.join(_sized(hit), ["k_id", "k_text"]).select("k_id", "k_text", "doc_id", "item_id", "i_key", "off", tokens(F.col("text")).alias("d_words"))
+    text_bytes = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    small = F.broadcast(items) if text_bytes <= BROADCAST_BYTES else items
+    both = both.join(small, (both.i_key == items.i_key) & both.item_id.eqNullSafe(items.item_id)).select("k_id", "k_text", "doc_id", both.item_id, "n_words", "off", "d_words", "i_words")
     d_from, i_from = F.greatest("off", F.lit(0)), F.greatest(-F.col("off"), F.lit(0))
 
     def same(d: Column) -> Column:
@@ -92,7 +107,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
-    bad = overlaps(docs, benchmark, **how).select("k_id", "k_text").distinct()
+    """The rows of ``docs`` that no benchmark item contaminates, with all their columns, whatever their names.
+
+    Rows are judged by id and text, so null ids, repeated rows and ids with several texts are judged each;
+    null and blank texts stay; an empty table stays empty, and an empty benchmark keeps all rows.
+    """
+    bad = stored(overlaps(docs, benchmark, **how).select("k_id", "k_text").distinct(), "contaminated")
+    bad = _sized(bad)
     on = (F.coalesce(docs.doc_id.cast("long"), F.lit(-1)) == bad.k_id) & (F.xxhash64(docs.doc_id.isNull(), docs.text) == bad.k_text)
     return docs.join(bad, on, "left_anti")

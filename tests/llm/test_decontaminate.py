@@ -79,3 +79,19 @@ def test_clean_keeps_odd_rows_and_drops_by_text_without_an_id(spark):
     assert sorted(repr(r.doc_id) for r in left.collect()) == sorted(repr(r[0]) for r in ODD if r[1] != item)
     assert D.clean(documents(spark, []), benchmark(spark, [(1, item)])).collect() == []
     assert D.clean(d, benchmark(spark, [])).count() == len(ODD)
+
+
+def test_a_seed_in_all_documents_and_large_benchmarks_change_nothing(spark):
+    pick = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(40)]
+    common = " ".join(vocabulary[:12])
+    items = [(k, common + " " + " ".join(pick.choices(vocabulary, k=12))) for k in range(10)]
+    docs = [(k, " ".join([common, *pick.choices(vocabulary, k=30), items[k % 10][1] if k % 3 else "", common]), "en", "a", 1) for k in range(120)]
+    want, shape = brute(docs, items), (D.BROADCAST_SEEDS, D.BROADCAST_BYTES)
+    try:
+        for D.BROADCAST_SEEDS, D.BROADCAST_BYTES in (shape, (0, 0)):
+            assert overlaps(spark, docs, items) == want and len(want) >= 80
+            d = documents(spark, docs)
+            assert {r.doc_id for r in D.clean(d, benchmark(spark, items)).collect()} == {r[0] for r in docs} - {x[0] for x in want}
+    finally:
+        D.BROADCAST_SEEDS, D.BROADCAST_BYTES = shape
