@@ -11,10 +11,15 @@ No task holds the whole automaton and none is broadcast.  Documents are packed i
 numbers of their own; each block asks for the counts of its own n-grams, once each, by 64-bit hash.
 Requests meet by ranges of the hash, where counts of all blocks are added up and answered in the order
 asked; so a block gets exactly the part of the automaton that its documents can reach.
+
+A request is one row for a block and a range.  Blocks and ranges both grow with the square root of the
+corpus, so that about ``ROW_TOKENS`` words stand behind each row and rows grow as the input does, until
+blocks reach ``MOST_TOKENS``, which bounds a task's memory; from there rows get thinner.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -24,15 +29,21 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ship, stored
 
 ORDER, PRIOR = 2, 512.0
-BLOCK_TOKENS = 500_000
-#: Requests of about so many words are answered by one task.
-PART_TOKENS = 1_500_000
+#: Words behind a request, on average; the least and the most words of a block; words of a range, in blocks.
+ROW_TOKENS, LEAST_TOKENS, MOST_TOKENS, PART_BLOCKS = 10_000, 50_000, 2_000_000, 3
+#: What sizes of blocks are chosen by; nothing else depends on it.
+BYTES_A_WORD = 6
 _BLOCK = "block long, doc_ids binary, held binary, lens binary, ids binary, dict binary, n_train long, n_all long"
 _START, _END = b" ", b""  # neither can be a word
 
 
-def _encode(rows: Iterator) -> Iterator:
-    """Arrow batches of (doc_id, held_out, text) -> rows of _BLOCK; each document is START, its words, END."""
+def block_tokens(tokens: int) -> int:
+    """The words of a block for a corpus of so many."""
+    return max(LEAST_TOKENS, min(MOST_TOKENS, math.isqrt(ROW_TOKENS * tokens // PART_BLOCKS)))
+
+
+def _encode(rows: Iterator, most: int) -> Iterator:
+    """Arrow batches of (doc_id, held_out, text) -> rows of _BLOCK of ``most`` words; each document is START, its words, END."""
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
@@ -68,7 +79,7 @@ def _encode(rows: Iterator) -> Iterator:
             held.append(out)
             lens.append(len(found) + 2)
             size += len(found) + 2
-            if size >= BLOCK_TOKENS:
+            if size >= most:
                 yield packed(number, docs, held, lens, ids)
                 number, docs, held, lens, ids = fresh()
                 size, made = 0, made + 1
@@ -123,7 +134,7 @@ def _rows(batches: Iterator) -> Iterator:
             yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def _requests(blocks: DataFrame, order: int, bits: int) -> DataFrame:
+def _requests(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
     """(part, block, level, keys, counts): the distinct n-grams of a block and their counts in its training texts."""
 
     def run(batches: Iterator) -> Iterator:
@@ -137,7 +148,7 @@ def _requests(blocks: DataFrame, order: int, bits: int) -> DataFrame:
             for level, (key, valid) in enumerate(_grams(ids, starts, dictionary, order), 1):
                 keys, place = np.unique(key[valid], return_inverse=True)
                 counts = np.bincount(place, weights=train[valid], minlength=len(keys)).astype("<u4")
-                parts, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+                parts, first = np.unique((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)
                 for p, a, b in zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
                     out.append((p, row["block"], level, _pack(keys[a:b]), _pack(counts[a:b])))
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -265,10 +276,12 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, held_out=No
     ship(docs.sparkSession)
     held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)) if held_out is None else held_out
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    blocks = stored(rows.mapInArrow(_encode, _BLOCK), "lm-blocks")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / BYTES_A_WORD + F.count("*")).first()[0]
+    most = block_tokens(int(size))
+    blocks = stored(rows.mapInArrow(lambda batches: _encode(batches, most), _BLOCK), "lm-blocks")
     n, tokens = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    bits = max(2, min(24, (tokens // PART_TOKENS).bit_length()))
-    answers = stored(_answers(_requests(blocks, order, bits)), "lm-answers")
+    ranges = max(4, min(1 << 24, tokens // (PART_BLOCKS * most)))
+    answers = stored(_answers(_requests(blocks, order, ranges)), "lm-answers")
     types = answers.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
     own = answers.groupBy("block").agg(F.collect_list(F.struct("level", "part", "totals")).alias("answers"))
     return _scores(blocks.join(own, "block").select("doc_ids", "held", "lens", "ids", "dict", "answers"), order, prior, n, types)

@@ -52,8 +52,8 @@ def test_scores_are_those_of_plain_counting(spark, order):
 def test_blocks_do_not_change_scores(spark, monkeypatch):
     d = documents(spark)
     one = sorted(round(r.score, 8) for r in lm.score(d).collect())
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", 7)
-    monkeypatch.setattr(lm, "PART_TOKENS", 50)
+    for name, n in (("LEAST_TOKENS", 7), ("MOST_TOKENS", 7), ("PART_BLOCKS", 1)):
+        monkeypatch.setattr(lm, name, n)
     assert sorted(round(r.score, 8) for r in lm.score(d.repartition(3)).collect()) == one
 
 
@@ -68,3 +68,10 @@ def test_model_beats_unigrams_on_held_out_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     better = lm.score(d).filter("held_out").selectExpr("avg(int(score > base_score))", "sum(score) > sum(base_score)").first()
     assert better[0] > 0.8 and better[1]
+
+
+def test_requests_grow_as_the_corpus_does():
+    rows = lambda t: t // lm.block_tokens(t) * max(4, t // (lm.PART_BLOCKS * lm.block_tokens(t)))
+    for t in (2 * 10**7, 10**8, 2 * 10**8):
+        assert 4.5 < rows(5 * t) / rows(t) < 5.5
+    assert lm.block_tokens(0) == lm.LEAST_TOKENS and lm.block_tokens(10**15) == lm.MOST_TOKENS
