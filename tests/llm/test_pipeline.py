@@ -6,6 +6,7 @@ from strandline.llm import quality
 from strandline.llm.common import stored
 from strandline.llm.passages import similarity
 
+from .helpers import ODD, documents
 from .test_decontaminate import brute as brute_overlaps
 from .test_mixing import waterfill
 from .test_simhash import brute_components, brute_fingerprint
@@ -72,3 +73,42 @@ def test_run_is_the_stages_in_turn(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "mixing", "sharding"]
     found = corpus_pipeline.run(spark, sf)
     assert found.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "grown_shard"] and found.count() > 0
+
+
+def tables(spark, folder, docs, labels=(), items=()):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+CLASH = ("size", "shard", "slot", "at", "range", "n", "fp", "node", "_row", "_node", "k_id", "k_text", "rank", "start", "taken", "finish", "target", "times", "row", "x", "quality", "words")
+
+
+def test_odd_rows_pass_each_stage(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [*ODD, (None, text, "en", "a", 1), (20, text, "en", "a", 1), (21, "other " + text, "en", None, 1), (22, "same id first words", "en", "b", 1), (22, "quite another text here", "en", "b", 1)]
+    d = documents(spark, rows, clash=CLASH)
+    folder = tables(spark, tmp_path, d, [(None, 1, 0), (1, None, None)], [(1, text), (None, None), (2, "")])
+    docs, counts = d, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, folder), f"odd-{name}")
+        counts[name] = sorted(map(repr, ((r.doc_id, getattr(r, "text", None)) for r in docs.collect())))
+        if name != "sharding":
+            assert docs.columns == d.columns
+    assert counts["quality"] == sorted(repr((r[0], r[1])) for r in rows)  # nothing to learn from
+    # 2 is twice and a copy of 1, 4 and 5 are blank as 3 is, 21 is near 20; rows without an id stay
+    kept = [r for r in rows if r[0] not in (2, 4, 5, 21)]
+    assert counts["near_dedup"] == sorted(repr((r[0], r[1])) for r in kept)
+    assert counts["decontamination"] == sorted(repr((r[0], r[1])) for r in kept if text not in (r[1] or ""))
+    assert all("None)" not in x for x in counts["mixing"]) and counts["mixing"]
+    assert len(counts["sharding"]) == len(counts["mixing"])
+
+
+def test_empty_tables_pass(spark, tmp_path):
+    d = documents(spark, [], clash=CLASH)
+    folder = tables(spark, tmp_path, d)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, d, folder)
+        assert found.columns == d.columns and found.collect() == []
+    assert corpus_pipeline.run(spark, folder).collect() == []
