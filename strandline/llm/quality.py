@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ship
 
 #: Surface measures, and buckets for three bytes in a row, for words and for pairs of words.
-SURFACE, BYTES, WORDS, PAIRS = 9, 512, 128, 128
+SURFACE, BYTES, WORDS, PAIRS = 9, 256, 64, 64
 FEATURES = SURFACE + BYTES + WORDS + PAIRS
 #: How far n-grams count beside surface measures, each scaled by its spread: many small ones against few.
 GRAMS = 0.25
 #: At most so many labelled documents are fitted on, the first by a hash of their ids, and so many partners met by each.
-SAMPLE, PARTNERS = 20_000, 8
+SAMPLE, PARTNERS = 12_000, 8
 
 
 def _shares(buckets, size: int):
@@ -97,18 +97,19 @@ def _table(docs: DataFrame) -> DataFrame:
 def rank(z, better, worse, ridge: float, steps: int = 12):
     """The weights that minimise the mean of log(1 + exp(-(z[better] - z[worse]) w)) and a ridge: Newton steps, each solved by conjugate gradients.
 
-    Differences are taken between scores, so no matrix of pairs is made.
+    Differences are taken between scores, so no matrix of pairs is made; sums are in the precision of ``z``.
     """
     import numpy as np
 
-    w, m = np.zeros(z.shape[1]), len(better)
+    w, m, kind = np.zeros(z.shape[1]), len(better), z.dtype
+    over = lambda v: (z @ v.astype(kind)).astype(float)
 
     def back(pairs):
         """Sums of the pairs' values by document, then by feature."""
-        return z.T @ (np.bincount(better, pairs, len(z)) - np.bincount(worse, pairs, len(z))) / m
+        return (z.T @ (np.bincount(better, pairs, len(z)) - np.bincount(worse, pairs, len(z))).astype(kind)).astype(float) / m
 
     for _ in range(steps):
-        s = z @ w
+        s = over(w)
         p = 1 / (1 + np.exp(np.clip(s[better] - s[worse], -500, 500)))
         grad = back(p) - ridge * w
         step, r = np.zeros_like(w), grad
@@ -116,7 +117,7 @@ def rank(z, better, worse, ridge: float, steps: int = 12):
         for _ in range(40):
             if size <= 1e-12 * (grad @ grad) or size == 0:
                 break
-            t = z @ d
+            t = over(d)
             h = back(p * (1 - p) * (t[better] - t[worse])) + ridge * d
             a = size / (d @ h)
             step, r = step + a * d, r - a * h
@@ -146,16 +147,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, partners: int
     y = np.array([r.quality for r in rows])
     if len(set(y.tolist()) & {0, 1}) < 2:
         return Model()
-    x = np.stack([np.frombuffer(r.x, dtype="<f4") for r in rows]).astype(np.float64)
-    spread = np.maximum(x.std(axis=0), 1e-3)
+    z = np.stack([np.frombuffer(r.x, dtype="<f4") for r in rows])
+    del rows
+    middle = z.mean(axis=0, dtype=float)
+    z -= middle.astype("<f4")  # in place: this is the one large table of the driver
+    spread = np.maximum(np.sqrt(np.einsum("ij,ij->j", z, z, dtype=float) / len(z)), 1e-3)
     spread[SURFACE:] = np.maximum(spread[SURFACE:], float(spread[SURFACE:].mean())) / GRAMS  # rare n-grams don't weigh more than common ones
-    z = (x - x.mean(axis=0)) / spread
+    z /= spread.astype("<f4")
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     pick = np.random.default_rng(7)
     many, few = (good, bad) if len(good) >= len(bad) else (bad, good)
     a, b = np.repeat(many, partners), pick.choice(few, size=len(many) * partners)
     w = rank(z, *((a, b) if many is good else (b, a)), ridge)
-    score = z @ w
+    score = z @ w.astype("<f4")
     order = np.argsort(score, kind="stable")
     # rejecting the k lowest is right for their zeros and for the ones above
     right = np.concatenate([[0], np.cumsum(np.where(y[order] == 0, 1, -1))])
@@ -163,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, partners: int
     s = score[order]
     cut = s[0] - 1 if k == 0 else s[-1] + 1e-9 if k == len(s) else (s[k - 1] + s[k]) / 2
     own_w = w / spread
-    return Model(tuple(map(float, own_w)), float(cut + x.mean(axis=0) @ own_w))
+    return Model(tuple(map(float, own_w)), float(cut + middle @ own_w))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
