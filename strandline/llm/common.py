@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.workers import ship
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "count_words", "crc_mod", "let", "passing", "shared_dir", "ship", "stored", "sweep", "table", "words"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "count_words", "crc_mod", "let", "passing", "shared_dir", "ship", "sized", "stored", "sweep", "table", "words"]
 
 #: ASCII white space, the separator of words in every contract of this package.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -69,15 +69,25 @@ def stored(df: DataFrame, name: str, passes: bool = True) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
-    if _made and passes:
-        _made[-1].append(path)
+    if len(_made) > (not passes):
+        _made[-1 if passes else -2].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which a table may be broadcast, some 40 MB.
+SMALL = 1_000_000
+
+
+def sized(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """``rows``, a stored table of a few numbers a row, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """What is ``stored`` inside goes when the block ends without an error, but for what is stored with ``passes=False``."""
+    """What is ``stored`` inside goes when the block ends without an error, but for what is stored with
+    ``passes=False``, which belongs to the block around it."""
     _made.append([])
     try:
         yield

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import let, sized, stored
 
 MASKS = ("111011", "101111")
 SHORT_MASKS, SHORT_ITEMS = ("111",), (6, 14)
@@ -55,10 +55,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k_id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("k_text"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_SEEDS else rows
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks: Sequence[str] = MASKS) -> DataFrame:
     """k_id, k_text, doc_id, item_id, n_words, matched: the best overlap of each contaminated document and item.
 
@@ -90,7 +86,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks:
         met = mine.withColumn("share", F.pmod(F.xxhash64("k_id", "k_text", "pos"), F.lit(SHARES)).cast("int")).join(item_seeds.withColumn("share", some), ["seed", "share"])
     hit = stored(met.select("k_id", "k_text", "item_id", "i_key", (F.col("pos") - F.col("i_pos")).alias("off")).distinct(), "seed-hits")
     # hits are few, so they go to the texts and not the other way round
-    both = keyed.join(_sized(hit), ["k_id", "k_text"]).select("k_id", "k_text", "doc_id", "item_id", "i_key", "off", tokens(F.col("text")).alias("d_words"))
+    both = keyed.join(sized(hit, BROADCAST_SEEDS), ["k_id", "k_text"]).select("k_id", "k_text", "doc_id", "item_id", "i_key", "off", tokens(F.col("text")).alias("d_words"))
     text_bytes = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     small = F.broadcast(items) if text_bytes <= BROADCAST_BYTES else items
     both = both.join(small, (both.i_key == items.i_key) & both.item_id.eqNullSafe(items.item_id)).select("k_id", "k_text", "doc_id", both.item_id, "n_words", "off", "d_words", "i_words")
@@ -113,6 +109,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     null and blank texts stay; an empty table stays empty, and an empty benchmark keeps all rows.
     """
     bad = stored(overlaps(docs, benchmark, **how).select("k_id", "k_text").distinct(), "contaminated")
-    bad = _sized(bad)
+    bad = sized(bad, BROADCAST_SEEDS)
     on = (F.coalesce(docs.doc_id.cast("long"), F.lit(-1)) == bad.k_id) & (F.xxhash64(docs.doc_id.isNull(), docs.text) == bad.k_text)
     return docs.join(bad, on, "left_anti")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import passing, ship, sized, stored
 from .components import components
 
 SHINGLE, SHARE = 5, 0.8
@@ -124,9 +124,13 @@ def keys(docs: DataFrame, share: float = SHARE, last=None) -> DataFrame:
 
 def _verified(docs: DataFrame, pair: DataFrame, share: float) -> DataFrame:
     """The rows of ``pair`` (u, v) whose texts are near copies."""
-    pair = stored(pair, "passage-pairs")
-    ids = pair.select(F.col("u").alias("doc_id")).union(pair.select("v")).distinct()
-    texts = stored(_texts(docs).join(ids, "doc_id", "left_semi"), "passage-texts")
+    with passing(docs.sparkSession):
+        return _checked(docs, stored(pair, "passage-pairs"), share)
+
+
+def _checked(docs: DataFrame, pair: DataFrame, share: float) -> DataFrame:
+    ids = stored(pair.select(F.col("u").alias("doc_id")).union(pair.select("v")).distinct(), "passage-ids")
+    texts = stored(_texts(docs).join(sized(ids), "doc_id", "left_semi"), "passage-texts")
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def verify(batches: Iterator) -> Iterator:
@@ -139,7 +143,7 @@ def _verified(docs: DataFrame, pair: DataFrame, share: float) -> DataFrame:
 
     ship(docs.sparkSession)
     met = pair.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
-    return stored(met.mapInArrow(verify, "u long, v long"), "passage-links")
+    return stored(met.mapInArrow(verify, "u long, v long"), "passage-links", passes=False)
 
 
 def near_copies(docs: DataFrame, gone: DataFrame | None = None, share: float = SHARE, known: DataFrame | None = None) -> DataFrame:
@@ -150,15 +154,15 @@ def near_copies(docs: DataFrame, gone: DataFrame | None = None, share: float = S
     """
     # the least overlap of near copies of sizes a and b, and whether the sizes allow it
     need = lambda a, b: share / (1 + share) * (a + b) - 1e-6
-    sized = lambda a, b: F.least(a, b) >= share * F.greatest(a, b) - 1e-6
+    sized_alike = lambda a, b: F.least(a, b) >= share * F.greatest(a, b) - 1e-6
     ends = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     fits = lambda a, b: 1 + F.least(a["m"] - 1 - a["i"], b["m"] - 1 - b["i"]) >= need(a["m"], b["m"])
 
     cut = keys(docs, share, common_shingles(docs))
     cut = stored(cut if gone is None else cut.join(gone, "doc_id", "left_anti"), "passages")
-    first = cut.groupBy("same").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    equal = stored(cut.select("doc_id", "same").join(first, "same").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v", "same").distinct(), "passage-equals")
-    own = cut.join(equal.select(F.col("u").alias("doc_id"), "same"), ["doc_id", "same"], "left_anti")
+    first = stored(cut.groupBy("same").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n"), "passage-firsts")
+    equal = stored(cut.select("doc_id", "same").join(sized(first), "same").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v", "same").distinct(), "passage-equals")
+    own = cut.join(sized(equal).select(F.col("u").alias("doc_id"), "same"), ["doc_id", "same"], "left_anti")
     rows = own.select("doc_id", "m", F.posexplode("keys").alias("i", "p"))
     shared = rows.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").select("p")
     met = stored(rows.join(shared, "p"), "passage-keys")
@@ -172,13 +176,13 @@ def near_copies(docs: DataFrame, gone: DataFrame | None = None, share: float = S
 
     spanned = equal.select("u", "v").unionByName(near)
     linked = spanned if known is None else spanned.unionByName(known)
-    return spanned.unionByName(_verified(docs, _across(met, linked, need, sized, fits, ends, share), share))
+    return spanned.unionByName(_verified(docs, _across(met, linked, need, sized_alike, fits, ends, share), share))
 
 
-def _across(met: DataFrame, linked: DataFrame, need, sized, fits, ends, share: float) -> DataFrame:
+def _across(met: DataFrame, linked: DataFrame, need, sized_alike, fits, ends, share: float) -> DataFrame:
     """(u, v) of all pairs that may be near copies and aren't in one component of ``linked`` (u, v)."""
     roots = stored(components(linked), "passage-roots")
-    home = met.join(roots, met.doc_id == roots.node, "left").select("p", "doc_id", "m", "i", F.coalesce("root", "doc_id").alias("c"))
+    home = met.join(sized(roots), met.doc_id == roots.node, "left").select("p", "doc_id", "m", "i", F.coalesce("root", "doc_id").alias("c"))
     mixed = home.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("p", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     left = stored(home.join(mixed, "p"), "passage-mixed")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -187,7 +191,7 @@ def _across(met: DataFrame, linked: DataFrame, need, sized, fits, ends, share: f
     a = left.select("p", one.alias("a"), block.alias("x"), others.alias("y"))
     b = left.select("p", one.alias("b"), block.alias("y"), others.alias("x"))
     a_, b_ = F.col("a"), F.col("b")
-    pair = a.join(b, ["p", "x", "y"]).filter((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.c") != F.col("b.c")) & sized(F.col("a.m"), F.col("b.m")))
+    pair = a.join(b, ["p", "x", "y"]).filter((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.c") != F.col("b.c")) & sized_alike(F.col("a.m"), F.col("b.m")))
     pair = pair.groupBy(*ends(F.col("a.doc_id"), F.col("b.doc_id"))).agg(F.count("*").alias("n"), F.max(fits(a_, b_)).alias("fits"), F.min(F.least("a.m", "b.m")).alias("s"), F.max(F.greatest("a.m", "b.m")).alias("l"))
     # shingles beyond the keys: at most ceil(share * m) - 1 of either text
     rest = F.ceil(share * F.col("l") - 1e-9) - 1

@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import passing, ship, sized, stored
 from .components import components
 from .passages import SHARE, near_copies
 
@@ -162,17 +162,15 @@ def keep_one(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: int = 42,
     own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
     own = _one_text_an_id(own)
     nodes = own.select(F.col("_node").alias("doc_id"), "text")
-    found = stored(near_duplicates(nodes, max_bits, width, seed), "simhash-found")
-    linked = found.filter("doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct()
-    if share is None:
-        gone = linked.select(F.col("u").alias("_node"))
-    else:
-        linked = stored(linked, "simhash-linked")
-        roots = stored(components(linked.unionByName(near_copies(nodes, share=share, known=linked))), "simhash-copies")
-        gone = roots.select(F.col("node").alias("_node"))
-    left = own.join(gone, "_node", "left_anti")
-    twice = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_node")).agg(F.count("*").alias("n")).filter("n > 1").select("_node")
+    with passing(docs.sparkSession):
+        found = stored(near_duplicates(nodes, max_bits, width, seed), "simhash-found")
+        linked = stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct(), "simhash-linked")
+        copies = linked if share is None else linked.unionByName(near_copies(nodes, share=share, known=linked))
+        gone = stored(components(copies).select(F.col("node").alias("_node")), "simhash-gone", passes=False)
+        twice = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_node")).agg(F.count("*").alias("n")).filter("n > 1")
+        twice = stored(twice.select("_node"), "simhash-twice", passes=False)
+    left = own.join(sized(gone), "_node", "left_anti")
     if twice.limit(1).count():
-        again = left.join(twice, "_node", "left_semi").dropDuplicates(["_node"])
-        left = left.join(twice, "_node", "left_anti").unionByName(again.select(*left.columns))
+        again = left.join(sized(twice), "_node", "left_semi").dropDuplicates(["_node"])
+        left = left.join(sized(twice), "_node", "left_anti").unionByName(again.select(*left.columns))
     return left.select("_row.*")
