@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.text import let
 
 
@@ -46,24 +47,31 @@ def coverage(intervals: DataFrame, segments: DataFrame, part: Sequence[str], buc
 def capped_merge_array(spans: Column, duration: Column, pad: float = 1.0, gap: float = 0.5, cap: float = 15.0, stride: float = 14.0, least: float = 0.2) -> Column:
     """Pad, clip, sort and merge an array of struct<start, end> up to ``cap`` long; longer ones are cut into overlapping pieces.
 
-    A fold in order, as each step depends on the last merged interval.
+    A fold in order, as each step depends on the last merged interval, which stays open while the ones
+    before it are gathered.
     """
-    kind = "array<struct<start:double,end:double>>"
+    kind = "struct<start:double,end:double>"
     padded = F.transform(spans, lambda s: F.struct(F.greatest(F.lit(0.0), s["start"] - pad).alias("start"), F.least(duration, s["end"] + pad).alias("end")))
+    none = F.lit(None).cast(kind)
 
-    def pieces(s: Column) -> Column:
-        # how many whole pieces are cut off while more than the cap remains
+    def whole(s: Column, n: Column) -> Column:
+        """The pieces that are cut off while more than the cap remains."""
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda k: k < n), lambda k: F.struct((s["start"] + k * stride).alias("start"), (s["start"] + k * stride + cap).alias("end")))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = acc["last"]
         n = F.greatest(F.lit(0), F.ceil((s["end"] - s["start"] - cap) / stride).cast("int"))
-        whole = F.transform(F.filter(F.sequence(F.lit(0), n), lambda k: k < n), lambda k: F.struct((s["start"] + k * stride).alias("start"), (s["start"] + k * stride + cap).alias("end")))
-        return F.concat(whole, F.array(F.struct((s["start"] + n * stride).alias("start"), s["end"].alias("end"))))
+        joins = F.coalesce((s["start"] - last["end"] <= gap) & (s["end"] - last["start"] <= cap), F.lit(False))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        rest = F.struct((s["start"] + n * stride).alias("start"), s["end"].alias("end"))
+        closed = F.when(last.isNull(), acc["done"]).otherwise(folds.push(acc["done"], last))
+        more = F.when(n > 0, F.aggregate(whole(s, n), closed, folds.push)).otherwise(closed)
+        return F.struct(F.when(joins, acc["done"]).otherwise(more).alias("done"), F.when(joins, longer).otherwise(rest).alias("last"))
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = (s["start"] - last["end"] <= gap) & (s["end"] - last["start"] <= cap)
-        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, pieces(s))).cast(kind)
+    def end(acc: Column) -> Column:
+        return folds.gathered(F.when(acc["last"].isNull(), acc["done"]).otherwise(folds.push(acc["done"], acc["last"])))
 
-    merged = F.aggregate(F.array_sort(padded), F.array().cast(kind), step)
+    merged = F.aggregate(F.array_sort(padded), F.struct(folds.nothing(kind).alias("done"), none.alias("last")), step, end)
     return F.filter(merged, lambda s: s["end"] - s["start"] >= least)
 
 
@@ -86,7 +94,8 @@ def rescue_merge(primary: DataFrame, candidates: DataFrame, part: Sequence[str],
 
     A candidate that overlaps none is added, and seen by later ones; one that overlaps just one replaces
     it if that is weak and the candidate better; others are dropped.  The list changes as it is
-    scanned, so a group is folded as a whole; a group is one medium's chunk.
+    scanned, so a group is folded as a whole; a group is one medium's chunk.  What is left comes in no order
+    of rows; ``order`` numbers it by start and end, of equals the earlier in the list first.
     """
     fields = ["start", "end", "seq", "text", "avg_logprob"]
     base = primary.select(*part, F.lit(0).alias("_side"), *fields).unionByName(candidates.select(*part, F.lit(1).alias("_side"), *fields))
@@ -111,8 +120,9 @@ def rescue_merge(primary: DataFrame, candidates: DataFrame, part: Sequence[str],
 
         return let(hits, decide).cast(kind)
 
-    folded = rows.select(*part, F.explode(F.aggregate(side(1), side(0).cast(kind), step)).alias("r"))
-    return folded.select(*part, "r.seq", "r.start", "r.end", "r.text", "r.avg_logprob")
+    folded = rows.select(*part, F.posexplode(F.aggregate(side(1), side(0).cast(kind), step)).alias("_at", "r"))
+    at = F.row_number().over(Window.partitionBy(*part).orderBy("r.start", "r.end", "_at")) - 1
+    return folded.select(*part, at.alias("order"), "r.seq", "r.start", "r.end", "r.text", "r.avg_logprob")
 
 
 def one_type(rows: DataFrame, fields: Sequence[str]) -> str:
