@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from .common import let, stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -77,22 +78,23 @@ class Model:
 
 def find(text: Column, pattern: str, test: str) -> Column:
     """All matches as array<struct<start, text, before, after>>, from the pieces between them."""
-    none = F.array().cast("array<struct<start:int,text:string,before:string,after:string>>")
+    kind = "struct<start:int,text:string,before:string,after:string>"
+    none = F.array().cast(f"array<{kind}>")
 
     def place(found: Column) -> Column:
         return F.when(F.size(found) == 0, none).otherwise(let(F.split(text, F.lit(pattern), F.lit(-1)), lambda pieces: walk(found, pieces)))
 
     def walk(found: Column, pieces: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        start = F.struct(F.lit(0).alias("at"), folds.nothing(kind).alias("out"))
 
         def step(acc: Column, x: Column) -> Column:
             begun = acc["at"] + F.length(x["piece"])
             hit = F.struct(begun.alias("start"), x["found"].alias("text"), F.right(x["piece"], F.lit(40)).alias("before"), F.left(x["next"], F.lit(12)).alias("after"))
-            return F.struct((begun + F.length(x["found"])).alias("at"), F.array_append(acc["out"], hit).alias("out"))
+            return F.struct((begun + F.length(x["found"])).alias("at"), folds.push(acc["out"], hit).alias("out"))
 
         n = F.size(found)
         rows = F.arrays_zip(F.slice(pieces, 1, n).alias("piece"), found.alias("found"), F.slice(pieces, 2, n).alias("next"))
-        return F.aggregate(rows, start, step, lambda acc: acc["out"])
+        return F.aggregate(rows, start, step, lambda acc: folds.gathered(acc["out"]))
 
     tried = text.contains(test) if test == "@" else text.rlike(test)
     return F.when(tried, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)).otherwise(none)

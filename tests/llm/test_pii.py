@@ -100,3 +100,11 @@ def test_luhn(spark, digits, ok):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(pii.luhn(F.lit(digits))).first()[0] is ok
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"a{k}@b.example 10.0.{k % 256}.1 +1 555 010 {k % 10000:04d}" for k in range(700))
+    got = pii.digest(pii.spans(documents(spark, [(1, text, "en", "a", 1)]))).first()
+    want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert got.n_email == len(want) == 700 and got.n_ip == 700
+    assert [s for s in got.spans.split(",") if s.startswith("email")] == want
