@@ -63,15 +63,27 @@ def sweep(spark: SparkSession) -> None:
 
 
 _made: list[list[str]] = []
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts that Python gets at a time where an operator runs at once.
+TEXTS = 1000
 
 
-def stored(df: DataFrame, name: str, passes: bool = True) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there."""
+def stored(df: DataFrame, name: str, passes: bool = True, batch: int | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there.
+
+    Python gets ``batch`` rows at a time, if given: fewer where they are texts, several of which fill its memory.
+    """
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     if len(_made) > (not passes):
         _made[-1 if passes else -2].append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch:
+            spark.conf.set(_BATCH, str(batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

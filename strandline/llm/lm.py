@@ -26,7 +26,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, stored
+from .common import TEXTS, crc_mod, ship, stored
 
 ORDER, PRIOR = 2, 512.0
 #: Words behind a request, on average; the least and the most words of a block; words of a range, in blocks.
@@ -278,7 +278,7 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, held_out=No
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / BYTES_A_WORD + F.count("*")).first()[0]
     most = block_tokens(int(size))
-    blocks = stored(rows.mapInArrow(lambda batches: _encode(batches, most), _BLOCK), "lm-blocks")
+    blocks = stored(rows.mapInArrow(lambda batches: _encode(batches, most), _BLOCK), "lm-blocks", batch=TEXTS)
     n, tokens = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
     ranges = max(4, min(1 << 24, tokens // (PART_BLOCKS * most)))
     answers = stored(_answers(_requests(blocks, order, ranges)), "lm-answers")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passing, ship, sized, stored
+from .common import TEXTS, passing, ship, sized, stored
 from .components import components
 
 SHINGLE, SHARE = 5, 0.8
@@ -60,6 +60,8 @@ def _hashed(texts: list) -> Iterator:
         if not found:
             yield None
             continue
+        if len(known) > 1 << 17:
+            known.clear()
         for w in found:
             if w not in known:
                 known[w] = xxh64_intdigest(w)
@@ -143,7 +145,7 @@ def _checked(docs: DataFrame, pair: DataFrame, share: float) -> DataFrame:
 
     ship(docs.sparkSession)
     met = pair.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
-    return stored(met.mapInArrow(verify, "u long, v long"), "passage-links", passes=False)
+    return stored(met.mapInArrow(verify, "u long, v long"), "passage-links", passes=False, batch=TEXTS // 4)
 
 
 def near_copies(docs: DataFrame, gone: DataFrame | None = None, share: float = SHARE, known: DataFrame | None = None) -> DataFrame:
@@ -159,7 +161,7 @@ def near_copies(docs: DataFrame, gone: DataFrame | None = None, share: float = S
     fits = lambda a, b: 1 + F.least(a["m"] - 1 - a["i"], b["m"] - 1 - b["i"]) >= need(a["m"], b["m"])
 
     cut = keys(docs, share, common_shingles(docs))
-    cut = stored(cut if gone is None else cut.join(gone, "doc_id", "left_anti"), "passages")
+    cut = stored(cut if gone is None else cut.join(gone, "doc_id", "left_anti"), "passages", batch=TEXTS)
     first = stored(cut.groupBy("same").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n"), "passage-firsts")
     equal = stored(cut.select("doc_id", "same").join(sized(first), "same").filter("doc_id != v").select(F.col("doc_id").alias("u"), "v", "same").distinct(), "passage-equals")
     own = cut.join(sized(equal).select(F.col("u").alias("doc_id"), "same"), ["doc_id", "same"], "left_anti")

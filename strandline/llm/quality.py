@@ -87,7 +87,7 @@ def _table(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            xs = [features(t).astype("<f4").tobytes() for t in b.column("text").to_pylist()]
+            xs = [features(t.as_py()).astype("<f4").tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(xs, pa.binary())], ["doc_id", "quality", "x"])
 
     ship(docs.sparkSession)
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            s = [model.score(t) for t in b.column("text").to_pylist()]
+            s = [model.score(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array([int(v >= 0.5) for v in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     ship(docs.sparkSession)
@@ -194,12 +194,12 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     Rows are judged each by its text alone: null ids and repeated rows are no cases of their own, a null text
     is judged as an empty one, and an empty table stays empty.
     """
-    from pyspark.sql.functions import pandas_udf
-
     ship(docs.sparkSession)
 
-    @pandas_udf("double")
+    @F.arrow_udf("double")
     def rate(text):
-        return text.map(model.score, na_action=None)
+        import pyarrow as pa
+
+        return pa.array([model.score(t.as_py()) for t in text], pa.float64())
 
     return docs.filter(rate(F.col("text")) >= 0.5)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, lm, mixing, oph, pii, quality, sharding, simhash, token_counts
-from .common import stored, table
+from .common import TEXTS, stored, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = lambda state, text: F.struct(F.lit(state).alias("state"), text.alias("text"))
     only, both = F.array(version("only", F.col("text"))), F.array(version("old", F.col("text")), version("new", once))
     versions = docs.select("doc_id", "source", "lang", F.inline(F.when(once != F.col("text"), both).otherwise(only)))
-    counted = stored(token_counts.count_tokens(versions, ranks, name), "token-counts")
+    counted = stored(token_counts.count_tokens(versions, ranks, name), "token-counts", batch=TEXTS)
     first, low = counted.filter("state != 'new'"), counted.filter("state != 'only'").join(labels.filter("quality = 0 and toxic = 0"), "doc_id")
     rollup = token_counts.fresh(spark)
     rollup.commit("1-insert", token_counts.insert(first))

@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passing, ship, sized, stored
+from .common import TEXTS, passing, ship, sized, stored
 from .components import components
 from .passages import SHARE, near_copies
 
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3, seed: in
     Other columns of ``docs`` are ignored, an empty table gives an empty result.  Rows of a fingerprint
     that more than ``hot`` of them have, and one in 10,000, meet its component where they are.
     """
-    fps = stored(fingerprints(docs, width, seed), "simhash-fp")
+    fps = stored(fingerprints(docs, width, seed), "simhash-fp", batch=TEXTS)
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(distinct.filter("rep is not null"), max_bits, crowd))
     home = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n")
