@@ -166,7 +166,7 @@ def parse_numbered(response: Column, count: Column) -> Column:
     return F.when(~F.exists(found, lambda t: t.isNull()), found)
 
 
-def reason_slug(reason: Column, default: str = "invalid") -> Column:
+def reason_slug(reason: Column, default: str = "rejected") -> Column:
     slug = F.regexp_replace(F.regexp_replace(F.lower(reason), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
     return F.when(slug == "", F.lit(default)).otherwise(slug)
 

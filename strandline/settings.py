@@ -29,6 +29,10 @@ FINAL_PARTICLES = ("けど", "から", "ので", "って", "て", "で", "が",
 UNCLEAR = "（日语发音不清）"
 
 
+#: Rules of the stages by number: outputs made by other rules are stale, and approvals of them no longer hold.
+REVISIONS = {"transcription": 2, "translation": 1, "prompt": 1}
+
+
 @dataclass(frozen=True)
 class Script:
     """Character classes, as the inside of brackets, that the text rules look at; all are Java and RE2 syntax."""

@@ -350,3 +350,162 @@ def test_backends_by_name():
     assert isinstance(models.load("stub", Settings()), models.EchoTranslator) and models.temperature(9) == models.TEMPERATURES[2]
     with pytest.raises(ValueError):
         models.load("none", Settings())
+
+
+# --- chunk transcription ---
+
+
+def test_windows_are_decoded_by_themselves_and_own_their_middles(spark):
+    from strandline.operators import transcription
+
+    class First:
+        """Hears one second at the start of each clip."""
+
+        def transcribe(self, samples, start, end, rescue=False):
+            return [{"start": start, "end": start + 1, "text": f"回復{start:g}-{end:g}"}]
+
+    d = spark.createDataFrame([("m", 0, 65.0, 10, [0] * 650)], "media_id string, chunk_no int, duration double, rate int, samples array<short>")
+    heard = transcription.window_segments(d, First, ["media_id", "chunk_no"]).collect()
+    # the later windows own nothing before half the overlap, but each is decoded by itself
+    assert [(r.seq, r.start, r.end, r.text) for r in heard] == [(0, 0.0, 1.0, "回復0-30")]
+    every = transcription.window_segments(d, First, ["media_id", "chunk_no"], Settings(window_overlap_seconds=0)).collect()
+    assert [r.text for r in every] == ["回復0-30", "回復30-60", "回復60-65"]
+
+
+def test_the_specialist_answers_for_each_clip(spark):
+    from strandline.operators import transcription
+
+    class Short:
+        def transcribe_specialist_batch(self, samples, clips):
+            return [[]] * (len(clips) - 1)
+
+    with pytest.raises(RuntimeError, match="1 clips instead of 2"):
+        transcription.specialist_retries(Short(), [], [(0, 1), (2, 3)])
+    assert transcription.specialist_retries(Short(), [], []) == []
+
+
+def plain_chunk(samples, rate, duration, model, s):
+    """The whole chunk by hand, rule by rule, over lists."""
+    import re
+    from difflib import SequenceMatcher
+
+    def dbfs(a, b):
+        x = samples[max(0, round(a * rate)) : min(len(samples), round(b * rate))]
+        return 20 * math.log10(max((sum(v * v for v in x) / len(x)) ** 0.5, 1.0) / 32768) if x else None
+
+    def front(rows):
+        return [r for r in rows if (v := dbfs(r["start"], r["end"])) is not None and (v >= s.foreground_min_dbfs or (v >= s.foreground_confident_min_dbfs and r["avg_logprob"] >= s.foreground_confident_logprob and r["no_speech_prob"] <= s.foreground_confident_no_speech_prob))]
+
+    first, at, step = [], 0.0, s.decode_window_seconds - s.window_overlap_seconds
+    while at < duration:
+        end, last = min(duration, at + s.decode_window_seconds), at + step >= duration
+        lo, hi = at + (s.window_overlap_seconds / 2 if at else 0), end - (0 if last else s.window_overlap_seconds / 2)
+        first += [r for r in model.transcribe(samples, at, end) if lo <= (r["start"] + r["end"]) / 2 < hi]
+        at += step
+    first = front(first)
+    size = max(1, round(rate * 0.1))
+    loud = []
+    for k in range(0, len(samples), size):
+        a, b = k / rate, min(len(samples), k + size) / rate
+        x = samples[k : k + size]
+        if 20 * math.log10(max((sum(v * v for v in x) / len(x)) ** 0.5, 1.0) / 32768) >= s.rescue_activity_dbfs:
+            if loud and a - loud[-1][1] <= 0.2:
+                loud[-1][1] = b
+            else:
+                loud.append([a, b])
+    loud = [x for x in loud if x[1] - x[0] >= 0.2]
+    covered = lambda a, b: min(1.0, sum(max(0.0, min(b, r["end"]) - max(a, r["start"])) for r in first if r["end"] > r["start"]) / max(0.001, b - a))
+    spans = [(a, b) for a, b in loud if covered(a, b) < 0.2] + [(r["start"], r["end"]) for r in first if r["avg_logprob"] < s.rescue_flag_logprob]
+    spans = plain_capped(spans, duration)
+    if not spans:
+        return drop_plain_bursts(first)
+    recovered = []
+    plain = lambda rows: re.sub(r"[^\w぀-ヿ一-鿿]", "", "".join(r["text"] for r in rows))
+    for (a, b), second in zip(spans, model.transcribe_specialist_batch(samples, spans)):
+        one, two = ([r for r in rows if r["text"].strip() and r["avg_logprob"] >= s.rescue_accept_logprob] for rows in (model.transcribe(samples, a, b, rescue=True), second))
+        if plain(one) and plain(two):
+            ratio = SequenceMatcher(None, plain(one), plain(two)).ratio()
+            strong = all(r["avg_logprob"] >= s.foreground_confident_logprob for r in [*one, *two])
+            taken = one if ratio >= s.rescue_agreement_threshold or (ratio >= s.rescue_conditional_agreement_threshold and dbfs(a, b) >= s.rescue_activity_dbfs and strong) else []
+        else:
+            taken = one or two
+            taken = taken if taken and min(r["avg_logprob"] for r in taken) >= -0.55 else []
+        recovered += front(taken)
+    row = lambda r: (r["start"], r["end"], r["text"], r["avg_logprob"])
+    merged = plain_rescue([row(r) for r in first], [row(r) for r in recovered], s.rescue_flag_logprob)
+    return drop_plain_bursts([dict(zip(("start", "end", "text", "avg_logprob"), r)) for r in merged])
+
+
+def drop_plain_bursts(rows):
+    out, k = [], 0
+    root = lambda t: next((t[:w] for w in range(1, 9) if w <= len(t) and len(t) % w == 0 and t[:w] * (len(t) // w) == t), t)
+    while k < len(rows):
+        n = k
+        while n < len(rows) and root(rows[n]["text"]) == root(rows[k]["text"]):
+            n += 1
+        if not (n - k >= 4 and len(root(rows[k]["text"])) <= 6):
+            out += rows[k:n]
+        k = n
+    return out
+
+
+def noise(pick, rate, seconds):
+    """Loud and quiet stretches, some clipped."""
+    out = []
+    while len(out) < rate * seconds:
+        height = pick.choice([0, 0, 60, 400, 900, 1500, 4000, 9000, 32760])
+        out += [max(-32768, min(32767, int(height * pick.uniform(0.8, 1.2) * pick.choice([1, -1])))) for _ in range(pick.randrange(1, rate * 6))]
+    return out[: int(rate * seconds)]
+
+
+def hearing():
+    class Hearing:
+        """The stub at a low rate; the specialist sometimes hears something else, or nothing."""
+
+        def __init__(self):
+            self.own = models.LevelTranscriber(rate=20, loud=800.0)
+
+        def transcribe(self, samples, start, end, rescue=False):
+            return self.own.transcribe(samples, start, end, rescue)
+
+        def transcribe_specialist_batch(self, samples, clips):
+            found = self.own.transcribe_specialist_batch(samples, clips)
+            return [[] if int(a) % 5 == 0 else [{**r, "text": r["text"][::-1] if int(a) % 3 else "んんんんん"} for r in rows] for (a, _), rows in zip(clips, found)]
+
+    return Hearing
+
+
+def test_chunk_transcription_is_that_of_plain_lists(spark):
+    from strandline.operators import transcription
+
+    pick, s, Hearing = random.Random(12), Settings(specialist_model="other"), hearing()  # noqa: N806
+    chunks = {(f"m{k}", c): noise(pick, 20, pick.choice([1, 25, 65, 100, 140.5])) for k in range(6) for c in range(2)} | {("quiet", 0): [0] * 900, ("none", 0): []}
+    d = spark.createDataFrame([(m, c, len(x) / 20, 20, x) for (m, c), x in chunks.items()], "media_id string, chunk_no int, duration double, rate int, samples array<short>")
+    got = {}
+    for r in transcription.transcribe_chunks(d, Hearing, settings=s, ratio=F.lit(None).cast("double")).orderBy("order").collect():
+        got.setdefault((r.media_id, r.chunk_no), []).append((round(r.start, 6), round(r.end, 6), r.text, round(r.avg_logprob, 6)))
+    want = {key: [(round(r["start"], 6), round(r["end"], 6), r["text"], round(r["avg_logprob"], 6)) for r in plain_chunk(x, 20, len(x) / 20, Hearing(), s)] for key, x in chunks.items()}
+    assert got == {k: v for k, v in want.items() if v} and sum(map(len, got.values())) > 40
+
+
+def test_repaired_samples_go_to_retries_only(spark):
+    from strandline.operators import transcription
+
+    class Loudest:
+        def transcribe(self, samples, start, end, rescue=False):
+            return [{"start": start, "end": end, "text": f"最大{max(samples)}", "avg_logprob": -0.2 if rescue else -0.9, "no_speech_prob": 0.0}]
+
+    x = [32767, 20000] * 100
+    d = spark.createDataFrame([("m", 0, 10.0, 20, x)], "media_id string, chunk_no int, duration double, rate int, samples array<short>")
+    run = lambda repair: [r.text for r in transcription.transcribe_chunks(d, Loudest, settings=Settings(), repair=repair).collect()]
+    assert run(None) == ["最大32767"] and run(lambda y: [v // 2 for v in y]) == ["最大16383"] and run(lambda y: None) == ["最大32767"]
+
+
+def test_chunks_become_one_transcript(spark):
+    from strandline.operators import transcription, windows
+
+    bounds = windows.source_chunks(spark.createDataFrame([("m", 650.0)], "media_id string, duration double"))
+    seen = [(0, 0, 10.0, 12.0, "はじめ"), (0, 1, 299.5, 300.5, "さかい"), (1, 0, 0.5, 1.5, "さかい"), (1, 1, 50.0, 52.0, "なか"), (2, 0, 20.0, 22.0, "おわり")]
+    found = spark.createDataFrame([("m", c, o, a, b, t, -0.1) for c, o, a, b, t in seen], "media_id string, chunk_no int, order long, start double, end double, text string, avg_logprob double")
+    cues = transcription.assemble(found, bounds).orderBy("idx").collect()
+    assert [(r.idx, r.start, r.text) for r in cues] == [(1, 10.0, "はじめ"), (2, 299.5, "さかい"), (3, 349.0, "なか"), (4, 619.0, "おわり")]

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import time
 import wave
 
 import pytest
@@ -156,7 +157,9 @@ def test_command_line_from_sample_to_bilingual(spark, home, capsys):
     assert code == cli.FAILED or out.get("review") == "v.mkv"
     # the echoing stub repeats kana, which no translation may hold, so each cue falls back to the marker
     assert run("status")[1]["next_action"] == "review_sample" and run("approve-sample")[0] == cli.OK
-    assert run("status")[1]["next_action"] == "review_full_video"
+    # the sample has sidecars of its own, the medium none yet
+    assert (home / "run/sample/v.ja.srt").is_file() and not (home / "media/v.ja.srt").exists()
+    assert run("status")[1]["next_action"] == "process_first_video"
     assert run("process")[0] == cli.OK and run("approve-video")[0] == cli.OK and run("status")[1]["next_action"] == "validate"
     code, out = run("validate")
     assert code == cli.OK and (home / "run/reports/validation.tsv").read_text().count("PASS") == 3
@@ -164,9 +167,84 @@ def test_command_line_from_sample_to_bilingual(spark, home, capsys):
     (home / "media/v.ja.srt").write_text((home / "media/v.ja.srt").read_text() + "\n")
     code, out = run("validate")
     assert code == cli.VALIDATION and "stale translation provenance" in (home / "run/reports/validation.tsv").read_text()
+    # the approval of the video no longer holds, that of the sample does
+    assert run("status")[1]["next_action"] == "review_full_video"
+    (home / "config.toml").write_text((home / "config.toml").read_text() + "rescue_flag_logprob = -0.8\n")
     assert run("status")[1]["next_action"] == "run_sample"
 
 
+def test_samples_and_the_bypass_of_their_gate(spark, home, capsys):
+    def run(*args):
+        return command(home, *args, capsys=capsys)
+
+    (home / "media/v.mkv").write_bytes(b"x")
+    rows = [{"start": 40.0 * k, "end": 40.0 * k + 2, "text": f"漢字の文{'一二三四五六'[k]}"} for k in range(6)]
+    (home / "media/v.segments.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert run("process", "--skip-sample-gate")[0] == cli.CONFIG
+    assert run("sample", "--minutes", "2")[0] == cli.OK
+    assert (home / "run/sample/v.ja.srt").read_text().count("-->") == 3
+    assert run("process", "--video", "v.mkv")[0] == cli.VALIDATION
+    assert run("process", "--skip-sample-gate", "--video", "v.mkv")[0] == cli.OK
+    assert (home / "media/v.ja.srt").read_text().count("-->") == 6
+    for bad in ("0", "-1", "x", "1.5"):
+        with pytest.raises(SystemExit):
+            cli.main(["sample", "--minutes", bad])
+
+
+def test_new_rules_make_approvals_stale(spark, home, capsys, monkeypatch):
+    (home / "media/v.mkv").write_bytes(b"x")
+    (home / "media/v.segments.jsonl").write_text(json.dumps({"start": 0.0, "end": 1.0, "text": "漢字の文"}))
+    assert command(home, "sample", capsys=capsys)[0] == cli.OK and command(home, "approve-sample", capsys=capsys)[0] == cli.OK
+    s = load_settings(home / "config.toml")
+    assert cli.approved(s, "sample")
+    monkeypatch.setitem(cli.REVISIONS, "prompt", 99)
+    assert not cli.approved(s, "sample")
+
+
+def recording(path, samples, rate=50):
+    import array
+    import wave
+
+    with wave.open(str(path), "wb") as w:
+        w.setparams((1, 2, rate, 0, "NONE", ""))
+        w.writeframes(array.array("h", samples).tobytes())
+
+
+def test_samples_are_transcribed_chunk_by_chunk_and_kept(spark, home, capsys):
+    from strandline.operators import models
+
+    asked = home / "asked"
+    asked.mkdir()
+
+    class Counting(models.LevelTranscriber):
+        def transcribe(self, samples, start, end, rescue=False):
+            (asked / f"{time.time_ns()}-{start}").write_text("")
+            return super().transcribe(samples, start, end, rescue)
+
+    models.register("low", lambda settings: Counting(rate=50, loud=2000.0), kind="transcriber")
+    (home / "config.toml").write_text((home / "config.toml").read_text() + "chunk_seconds = 30\n[backends]\ntranscription_backend = 'low'\n")
+    (home / "media/v.mkv").write_bytes(b"x")
+    # ten loud seconds of twenty, each louder than the last, the third over the border of two chunks
+    x = [v for k in range(4) for v in [0] * 500 + [5000 + 700 * k, -5000 - 700 * k] * 250]
+    recording(home / "media/v.wav", x)
+    s = load_settings(home / "config.toml")
+    job = cli.whole(home / "media/v.mkv")
+    cues = cli.transcribe(s, spark, job).orderBy("idx").collect()
+    assert [r.idx for r in cues] == list(range(1, len(cues) + 1)) and len(cues) >= 4
+    starts = [r.start_ms for r in cues]
+    assert starts == sorted(starts) and {10000, 30000, 50000, 70000} <= set(starts)
+    folder = next((home / "run/state/transcription").iterdir())
+    assert sorted(p.name for p in folder.iterdir()) == ["chunk-0000.srt", "chunk-0001.srt", "chunk-0002.srt"]
+    calls = len(list(asked.iterdir()))
+    assert calls
+    again = cli.transcribe(s, spark, job).orderBy("idx").collect()
+    assert again == cues and len(list(asked.iterdir())) == calls
+    (folder / "chunk-0001.srt").write_text("1\nnot a time\n?\n")  # broken, so only this one is made anew
+    assert cli.transcribe(s, spark, job).orderBy("idx").collect() == cues and calls < len(list(asked.iterdir())) < 2 * calls
+    short = cli.transcribe(s, spark, cli.Job(job.media, home / "run/sample/v.mkv", 25.0)).collect()
+    assert [r.start_ms for r in short] == [10000]
+
+
 def test_lock(home):
     s = load_settings(home / "config.toml")
     with cli.lock(s):

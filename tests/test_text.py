@@ -107,7 +107,7 @@ def test_similarity_is_the_standard_librarys(spark):
 
 def test_names_and_slugs(spark):
     assert one(spark, "Ｆｏｏ ẞ.MKV", X.name_key) == "foo ss.mkv"
-    assert column(spark, ["Stale Source!", "--", "a__b"], X.reason_slug) == ["stale-source", "invalid", "a-b"]
+    assert column(spark, ["Stale Source!", "--", "a__b"], X.reason_slug) == ["stale-source", "rejected", "a-b"]
 
 
 def plain_stamp(s):
