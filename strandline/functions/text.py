@@ -109,6 +109,19 @@ def repetition_root(text: Column, widest: int = 8) -> Column:
     return let(F.lower(F.regexp_replace(text, f"[^{WORD}{KANA_CJK}]+", "")), root)
 
 
+def quoted(text: Column) -> Column:
+    """A text in quotes, as Python's ``repr`` writes it for texts of printable characters and ASCII control characters.
+
+    Apostrophes are the quotes unless the text has some and no double quotes; backslashes, line breaks, tabs and
+    the quote itself are escaped, other control characters by their code.
+    """
+    both = text.contains("'") & ~text.contains('"')
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for code in [*range(32), 127]:
+        out = F.replace(out, F.lit(chr(code)), F.lit({9: "\\t", 10: "\\n", 13: "\\r"}.get(code, f"\\x{code:02x}")))
+    return F.when(both, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def punctuation_only(text: Column) -> Column:
     return ~text.rlike(f"[{WORD}{KANA_CJK}]")
 

@@ -99,7 +99,7 @@ def transcript_errors(s: DataFrame) -> DataFrame:
             tell(F.col("bad_cues") > 0, text("bad_cues"), " internally repetitive cue(s): ", F.col("bad_preview")),
             tell(F.col("longest_run") >= 25, "repetition loop: ", text("longest_run"), " consecutive identical cues"),
             tell((n >= 30) & (F.try_divide(F.col("adjacent").cast("double"), n - 1) > 0.20), "more than 20% adjacent cues are identical"),
-            tell((F.col("dominant_count") >= 50) & (F.col("dominant_count") / n > 0.20), "one cue dominates transcript (", text("dominant_count"), "/", text("cues"), "): '", F.col("dominant_text"), "'"),
+            tell((F.col("dominant_count") >= 50) & (F.col("dominant_count") / n > 0.20), "one cue dominates transcript (", text("dominant_count"), "/", text("cues"), "): ", X.quoted(F.col("dominant_text"))),
             tell((n >= 100) & (F.col("punctuation_only") / n > 0.10), "more than 10% of cues contain punctuation only"),
         )
     )

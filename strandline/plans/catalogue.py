@@ -291,10 +291,14 @@ def review_reasons(spark, d):
 
 
 def marker_parse(spark, d):
-    c = table(spark, d, "conversations").withColumn("line", F.regexp_replace(F.substring("text", 1, 40), r"[\n\[\]]", " "))
+    """The whole messages of a conversation as one marked answer, line breaks and all; the first two items are read back.
+
+    A message that has a mark at the start of a line itself is split there, as any answer would be.
+    """
+    c = table(spark, d, "conversations")
     n = F.when(F.col("turn") % 3 == 2, F.col("turn")).otherwise(F.col("turn") + 1)
-    one = F.struct("turn", F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.col("line")).alias("t"))
-    r = c.groupBy("conv_id").agg(F.count("*").cast("int").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "\n").alias("response"))
+    one = F.struct("turn", F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.col("text")).alias("t"))
+    r = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "\n").alias("response"))
     return r.select("conv_id", F.array_join(X.parse_numbered(F.col("response"), F.lit(2)), "¦").alias("items"))
 
 

@@ -8,6 +8,14 @@ _STRIP = lambda x: f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"  #
 _COLLAPSE = lambda x: f"regexp_replace(regexp_replace({x}, '[{SPACE}]+', ' ', 'g'), '^ | $', '', 'g')"
 _SQUASH = lambda x: f"regexp_replace({x}, '[{SPACE}]+', '', 'g')"
 
+def _quoted(x: str) -> str:
+    """What ``functions.text.quoted`` says."""
+    out = f"replace({x}, chr(92), chr(92) || chr(92))"
+    for code in [*range(1, 32), 127]:
+        out = f"replace({out}, chr({code}), chr(92) || '{ {9: 't', 10: 'n', 13: 'r'}.get(code, f'x{code:02x}') }')"
+    return f"(case when contains({x}, chr(39)) and not contains({x}, chr(34)) then chr(34) || {out} || chr(34) else chr(39) || replace({out}, chr(39), chr(92) || chr(39)) || chr(39) end)"
+
+
 _LINES = f"""lines as (select doc_id, pos - 1 as pos, text from (select doc_id, unnest(l) as text, generate_subscripts(l, 1)::bigint as pos
   from (select doc_id, string_split(text, chr(10)) as l from documents)) where {_STRIP("text")} <> '')"""
 
@@ -87,7 +95,7 @@ TWINS = {
         case when bad_cues > 0 then bad_cues || ' internally repetitive cue(s): ' || bad_preview end,
         case when longest_run >= 25 then 'repetition loop: ' || longest_run || ' consecutive identical cues' end,
         case when cues >= 30 and adjacent / (cues - 1) > 0.2 then 'more than 20% adjacent cues are identical' end,
-        case when dominant_count >= 50 and dominant_count / cues > 0.2 then 'one cue dominates transcript (' || dominant_count || '/' || cues || '): ''' || dominant_text || '''' end,
+        case when dominant_count >= 50 and dominant_count / cues > 0.2 then 'one cue dominates transcript (' || dominant_count || '/' || cues || '): ' || {_quoted("dominant_text")} end,
         case when cues >= 100 and punctuation_only / cues > 0.1 then 'more than 10% of cues contain punctuation only' end], lambda x: x is not null), ' | ') as errors from j)
       select d.doc_id, coalesce(cues, 0) as cues, longest_run, adjacent, dominant_text, dominant_count, punctuation_only, bad_cues, bad_preview,
         coalesce(errors, 'transcript contains zero cues') as errors from (select distinct doc_id from documents) d left join e using (doc_id)""",
@@ -164,9 +172,13 @@ TWINS = {
         {_STRIP("t.text")} <> '' and {_STRIP("t.text")} <> {_STRIP("s.text")} and not regexp_matches({_STRIP("t.text")}, '{_LEFT}')
         and not ((regexp_matches(s.text, '{_LEFT}') or regexp_matches(s.text, '{_IDEO}')) and not regexp_matches({_STRIP("t.text")}, '{_IDEO}')) as safe
       from s join t using (media_id, idx)""",
-    "marker_parse": rf"""with c as (select conv_id, turn, case when turn % 3 = 2 then turn else turn + 1 end as n, {_STRIP(r"regexp_replace(substr(text, 1, 40), '[\n\[\]]', ' ', 'g')")} as t from conversations),
-      l as (select conv_id, n, arg_max(t, turn) as t from c where n between 1 and 2 and t <> '' group by conv_id, n)
-      select conv_id, case when count(l.n) = 2 then string_agg(l.t, '¦' order by l.n) end as items from (select distinct conv_id from conversations) left join l using (conv_id) group by conv_id""",
+    "marker_parse": rf"""with c as (select conv_id, turn, '[' || (case when turn % 3 = 2 then turn else turn + 1 end) || '] ' || text as t from conversations),
+      r as (select conv_id, coalesce(chr(10) || string_agg(t, chr(10) order by turn, t), '') as r from c group by conv_id),
+      m as (select conv_id, string_split(regexp_replace(r, '\n[{SPACE}]*\[([0-9]+)\][{SPACE}]*', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:] as l from r),
+      x as (select conv_id, unnest(l) as x, generate_subscripts(l, 1) as pos from m),
+      i as (select conv_id, pos, try_cast(split_part(x, chr(2), 1) as int) as n, {_STRIP("substr(x, strpos(x, chr(2)) + 1)")} as t from x),
+      k as (select conv_id, n, arg_max(t, pos) as t from i where n between 1 and 2 and t <> '' group by conv_id, n)
+      select conv_id, case when count(k.n) = 2 then string_agg(k.t, '¦' order by k.n) end as items from r left join k using (conv_id) group by conv_id""",
     "media_names": r"select c_name || '.MKV' as name, lower(c_name || '.MKV') as key, c_name as stem from customer",
     "inventory_rollup": """select count(*) as videos, sum(n_chars)::bigint as bytes, count(*) filter (q) as source_complete, count(*) filter (x) as target_complete
       from documents left join (select doc_id, bool_or(quality = 1) as q, bool_or(toxic = 1) as x from labels group by doc_id) using (doc_id)""",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -35,7 +36,8 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes
 def process_pending(chunks: DataFrame, out: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Work off a stream of chunks, each once: a batch drops chunks whose result exists, does the rest and appends it.
 
-    A batch that is run again after a failure finds what it had written and adds nothing.
+    A batch that is run again after a failure finds what it had written and adds nothing; a folder in which
+    a failed batch left nothing is one without results.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -43,17 +45,27 @@ def process_pending(chunks: DataFrame, out: str, checkpoint: str, work: Callable
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(out)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            rows = rows.join(spark.read.parquet(out).select("media_id", "chunk_no"), ["media_id", "chunk_no"], "left_anti")
+            done = spark.read.schema(rows.select("media_id", "chunk_no").schema).parquet(out)
+            rows = rows.join(done, ["media_id", "chunk_no"], "left_anti")
         work(rows.dropDuplicates(["media_id", "chunk_no"])).write.mode("append").parquet(out)
 
     return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def carry_context(rows: DataFrame, key: str, order: str, text: str, keep: int = 6) -> DataFrame:
-    """On a stream or table with one message a row: each row with the last ``keep`` texts of its key before it in its batch and in earlier ones."""
+    """Each row (key, order, text) with context: the last ``keep`` texts of its key before it.
+
+    On a table, by ``order``.  On a stream, by ``order`` within a batch and after earlier batches, whose last
+    texts are carried as state.  Columns keep their types; rows of a null key are a group like others.
+    """
+    rows = rows.select(key, order, text)
+    if not rows.isStreaming:
+        w = Window.partitionBy(key).orderBy(order)
+        before = F.collect_list(F.struct(text)).over(w.rowsBetween(-keep, -1)) if keep else F.array()
+        return rows.withColumn("context", F.transform(before, lambda x: x[text]) if keep else before.cast("array<string>"))
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    schema = f"{key} long, {order} long, {text} string, context array<string>"
+    schema = T.StructType([*rows.schema.fields, T.StructField("context", T.ArrayType(T.StringType()))])
 
     def run(k, batches, state):
         import pandas as pd
@@ -67,4 +79,4 @@ def carry_context(rows: DataFrame, key: str, order: str, text: str, keep: int =
         state.update((past,))
         yield pd.DataFrame({key: pdf[key], order: pdf[order], text: pdf[text], "context": seen})
 
-    return rows.select(key, order, text).groupBy(key).applyInPandasWithState(run, schema, "past array<string>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "past array<string>", "append", GroupStateTimeout.NoTimeout)

@@ -200,6 +200,14 @@ def test_transcript_statistics_and_verdict(spark):
     assert "repetition loop: 30 consecutive identical cues" in got["loop"].errors and "more than 20% adjacent cues are identical" in got["loop"].errors
 
 
+def test_the_dominant_text_is_quoted(spark):
+    rows = spark.createDataFrame([("m", k, "it's" if k % 2 else f"other {k}") for k in range(120)], "m string, pos int, text string")
+    from strandline.settings import Script
+
+    found = sequences.transcript_quality(rows, ["m"], ["pos"], script=Script(alien_run="[0-9]{9,}")).first()
+    assert """one cue dominates transcript (60/120): "it's\"""" in found.errors
+
+
 def test_ties_of_the_dominant_text_go_to_the_first(spark):
     r = sequences.transcript_statistics(cues(spark, ["b", "a", "a", "b", "c"]), ["m"], ["pos"]).first()
     assert r.dominant_text == "b" and r.dominant_count == 2

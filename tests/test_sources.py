@@ -268,3 +268,26 @@ def test_configuration_errors_and_cleaning(home, capsys):
         cli.main(["clean"])
     (home / "config.toml").write_text("[processing]\nchunk_seconds = 0\n")
     assert command(home, "status", capsys=capsys)[0] == cli.CONFIG
+
+
+def test_a_folder_left_empty_by_a_failed_batch_is_no_result(spark, tmp_path):
+    rows = spark.createDataFrame([("m", k, f"t{k}") for k in range(4)], "media_id string, chunk_no long, text string")
+    rows.write.parquet(str(tmp_path / "in"))
+    (tmp_path / "out").mkdir()
+    for n in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        streams.process_pending(stream, str(tmp_path / "out"), str(tmp_path / f"state{n}"), lambda x: x.select("media_id", "chunk_no")).awaitTermination()
+    assert sorted(r.chunk_no for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3]
+
+
+def test_context_is_carried_on_streams_and_tables_with_any_keys(spark, tmp_path):
+    rows = spark.createDataFrame([(m, k, f"{m}{k}" if k != 2 else None) for m in ("a", "b") for k in range(6)], "m string, k int, t string")
+    want = {(m, k): [f"{m}{j}" if j != 2 else None for j in range(max(0, k - 3), k)] for m in ("a", "b") for k in range(6)}
+    told = lambda d: {(r.m, r.k): r.context for r in d.collect()}
+    assert told(streams.carry_context(rows, "m", "k", "t", keep=3)) == want
+    assert all(c == [] for c in told(streams.carry_context(rows, "m", "k", "t", keep=0)).values())
+    for part in (rows.filter("k < 3"), rows.filter("k >= 3")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.carry_context(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "m", "k", "t", keep=3)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert told(spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))) == want

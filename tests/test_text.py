@@ -145,3 +145,8 @@ def test_settings_from_toml(tmp_path):
     with pytest.raises(ValueError):
         load_settings(f)
     assert Script(alien_run="[0-9]+") != Script()
+
+
+def test_quoted_as_python_writes_it(spark):
+    texts = ["plain", "it's", 'say "x"', """it's "x" """, "back\\slash", "a\nb\tc\rd", "\x00\x1f\x7f", "漢字 é", ""]
+    assert column(spark, texts, X.quoted) == [repr(t) for t in texts]
