@@ -1,4 +1,4 @@
-"""Python workers and this package."""
+"""What executors share with the driver: this package, and a folder."""
 
 from __future__ import annotations
 
@@ -22,3 +22,16 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(home.parent).as_posix())
     sc.addPyFile(name)
     sc._strandline_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one only where none is set and Spark is local."""
+    sc = spark.sparkContext
+    if found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(found)
+        return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
+    return sc.getCheckpointDir()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signal
-from ..functions.workers import ship
+from ..functions.workers import shared_dir, ship
 from ..settings import Settings
 from . import intervals, segments, sequences, windows
 from .models import Transcriber
@@ -23,13 +23,8 @@ _FOUND = "seq long, start double, end double, text string, avg_logprob double, n
 
 
 def _once(df: DataFrame) -> DataFrame:
-    """Answers of a model, which is asked once: kept in the checkpoint folder that all executors share, if there is one."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        return df.persist()
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
+    """Answers of a model, which is asked once: kept in the checkpoint folder, which all executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -77,6 +77,20 @@ _REASONS = f"""list_filter([
   case when length({_STRIP("s.text")}) <= 18 and (regexp_matches({_STRIP("s.text")}, '(?:the|la|der|de)$') or regexp_matches(s.text, ' it | he | die | que ')) then 'context-sensitive fragment' end
 ], lambda x: x is not null)"""
 
+
+
+def _capped(rows: str, cap: float, stride: float, gap: float, out: str) -> str:
+    """Padded rows (user_id, s, e) folded one by one in their order: l and m are the open interval, h and t what was closed before it."""
+    return f"""o as (select user_id, s, e, row_number() over (partition by user_id order by s, e) as i, greatest(0, ceil((e - s - {cap}) / {stride})::int) as n from {rows}),
+      w as (select user_id, i, s + n * {stride} as l, e as m, n, s, null::double as h, null::double as t, 1 as opens from o where i = 1
+        union all select o.user_id, o.i, case when j then l else o.s + o.n * {stride} end, case when j then greatest(m, o.e) else o.e end, o.n, o.s, case when not j then l end, case when not j then m end, case when j then 0 else 1 end
+        from (select w.user_id, w.i, l, m, o.s - m <= {gap} and o.e - l <= {cap} as j from w join o on o.user_id = w.user_id and o.i = w.i + 1) x join o on o.user_id = x.user_id and o.i = x.i + 1),
+      z as (select user_id, i, 0 as k, h as a, t as b from w where h is not null
+        union all select user_id, i, k, s + (k - 1) * {stride}, s + (k - 1) * {stride} + {cap} from (select *, unnest(range(1, n + 1)) as k from w where opens = 1)
+        union all select user_id, i + 1, 0, l, m from w where i = (select max(i) from o where o.user_id = w.user_id)),
+      {out} as (select user_id, row_number() over (partition by user_id order by i, k) - 1 as interval_no, a as start, b as "end" from z where b - a >= 0.2)"""
+
+
 TWINS = {
     "line_cues": f"with {_LINES} select doc_id, row_number() over (partition by doc_id order by pos) as idx, {_COLLAPSE('text')} as text from lines",
     "quality_text_rules": f"with {_JUDGED} select doc_id, pos, error from judged",
@@ -85,7 +99,7 @@ TWINS = {
     "burst_filter": f"""with {_LINES}, r as (select * from (select doc_id, pos, text, {_root("text")} as r from lines) where r <> '')
       select doc_id, pos, text from {_islands("r", "r", "doc_id", "pos")} where not (run >= 4 and length(r) <= 6)""",
     "exact_burst_filter": f"with {_LINES} select doc_id, pos, text from {_islands(_COLLAPSE('text'), 'lines', 'doc_id', 'pos')} where run < 4",
-    "transcript_quality": f"""with {_JUDGED}, i as (select * from {_islands(_COLLAPSE("text"), "judged", "doc_id", "pos")}),
+    "transcript_rules": f"""with {_JUDGED}, i as (select * from {_islands(_COLLAPSE("text"), "judged", "doc_id", "pos")}),
       per as (select doc_id, v, count(*) as n, min(pos) as f, max(run) as longest, count(distinct isl) as isls from i group by doc_id, v),
       bad as (select doc_id, count(*) as bads, array_to_string(list(pos || ': ' || error order by pos)[1:5], ', ') as preview from judged where error is not null group by doc_id),
       s as (select doc_id, sum(n)::bigint as cues, max(longest)::bigint as longest_run, sum(n - isls)::bigint as adjacent, first(v order by n desc, f) as dominant_text,
@@ -130,6 +144,41 @@ TWINS = {
       j as (select a.event_id, a.user_id, a.s, a.e, coalesce(sum(least(a.e, b.e) - greatest(a.s, b.s)) filter (b.s is not null), 0) as c from (select * from e where event_type = 'click') a
         left join (select * from e where event_type = 'view') b on a.user_id = b.user_id and b.s < a.e and b.e > a.s group by all)
       select event_id, user_id, round(least(1.0, c / greatest(0.001, e - s)), 6) as coverage, least(1.0, c / greatest(0.001, e - s)) < 0.2 as low from j""",
+    "capped_merge": f"""with recursive e as (select user_id, greatest(0.0::double, s - 1) as s, least(2592000.0::double, s + value + 1) as e from (select user_id, value, {_SECONDS} as s from events)),
+      {_capped("e", 900.0, 840.0, 600.0, "r")} select user_id, interval_no::int as interval_no, start, "end" from r""",
+    "rescue_windows": f"""with recursive b as (select event_id, user_id, event_type, value, s, s + value as e from (select *, {_SECONDS} as s from events)),
+      d as (select user_id, max(e) as d from b group by user_id),
+      c as (select p.user_id, p.s, p.e, sum(least(p.e, q.e) - greatest(p.s, q.s)) filter (q.s is not null) as covered from (select distinct user_id, s, e from b where event_type = 'purchase') p
+        left join (select * from b where event_type = 'click' and e > s) q on q.user_id = p.user_id and q.s < p.e and q.e > p.s group by all),
+      u as (select p.user_id, p.s, p.e from b p join c using (user_id, s, e) where p.event_type = 'purchase' and least(1.0, coalesce(covered, 0) / greatest(0.001, p.e - p.s)) < 0.2
+        union all select user_id, s, e from b where event_type = 'click' and -value / 50 < -0.85),
+      v as (select user_id, greatest(0.0::double, s - 1) as s, least(d, e + 1) as e from u join d using (user_id)),
+      {_capped("v", 15.0, 14.0, 0.5, "r")} select user_id, interval_no::int as interval_no, start, "end" from r""",
+    "rescue_merge": f"""with recursive b as (select user_id, event_type, event_id as seq, s, s + value * 60 as e, -value / 50 as p from (select *, {_SECONDS} as s from events)),
+      c as (select *, row_number() over (partition by user_id order by seq) as i from b where event_type = 'view'),
+      u as (select distinct user_id from b where event_type in ('click', 'view')),
+      f as (select user_id, 0::bigint as i, coalesce((select list({{'s': s, 'e': e, 'p': p, 'seq': seq, 'text': event_type}} order by seq) from b where b.user_id = u.user_id and event_type = 'click'), []) as l from u
+        union all select user_id, i, case when len(hits) = 0 then list_append(l, one) when len(hits) = 1 and l[hits[1]].p < -0.85 and one.p > l[hits[1]].p + 0.1
+            then list_concat(list_append(l[1 : hits[1] - 1], one), l[hits[1] + 1 :]) else l end
+        from (select f.user_id, c.i, f.l, {{'s': c.s, 'e': c.e, 'p': c.p, 'seq': c.seq, 'text': c.event_type}} as one,
+            list_filter(range(1, len(f.l) + 1), lambda k: greatest(0, least(c.e, f.l[k].e) - greatest(c.s, f.l[k].s)) >= 0.3 * greatest(0.1, least(c.e - c.s, f.l[k].e - f.l[k].s))) as hits
+          from f join c on c.user_id = f.user_id and c.i = f.i + 1)),
+      g as (select user_id, arg_max(l, i) as l from f group by user_id),
+      h as (select user_id, unnest(l) as r, generate_subscripts(l, 1) as k from g)
+      select user_id, (row_number() over (partition by user_id order by r.s, r.e, k) - 1)::int as "order", r.seq as seq, r.s as start, r.e as "end", r.text as text, r.p as avg_logprob from h""",
+    "frame_levels": f"""with {_FRAMES}, p as (select vec_id, x, unnest(range(11)) as frame from f)
+      select vec_id, frame, round(frame * 6 / 64, 6) as start, round(least(64, frame * 6 + 6) / 64, 6) as "end", round({_dbfs("x[frame * 6 + 1 : least(64, frame * 6 + 6)]")}, 6) as dbfs from p""",
+    "sample_activity": f"""with {_FRAMES}, p as (select vec_id, x, unnest(range(11)) as k from f),
+      q as (select vec_id, k * 6 / 64 as a, least(64, k * 6 + 6) / 64 as b from p where {_dbfs("x[k * 6 + 1 : least(64, k * 6 + 6)]")} >= -18),
+      o as (select *, case when a - lag(b) over w <= 0.2 then 0 else 1 end as new from q window w as (partition by vec_id order by a)),
+      i as (select *, sum(new) over (partition by vec_id order by a rows unbounded preceding) as isl from o)
+      select vec_id, round(min(a), 6) as start, round(max(b), 6) as "end" from i group by vec_id, isl having max(b) - min(a) >= 0.2""",
+    "srt_serialize": f"""with {_LINES}, n as (select doc_id, pos, text, row_number() over (partition by doc_id order by pos) as idx from lines)
+      select doc_id, string_agg(idx || chr(10) || {_stamp("pos * 1.5")} || ' --> ' || {_stamp("(pos * 1.5 + 1)")} || chr(10) || {_STRIP("text")}, chr(10) || chr(10) order by idx) || chr(10) as content from n group by doc_id""",
+    "provenance_upsert": """with d as (select doc_id, sha256(doc_id || '|' || coalesce(lang, 'None')) as a, sha256(doc_id || '|' || coalesce(source, 'None')) as b from documents),
+      r as (select doc_id, a as f from d where doc_id % 3 <> 0), n as (select doc_id, case when doc_id % 4 = 0 then a else b end as f from d where doc_id % 2 = 0)
+      select doc_id, f as fingerprint, false as replaced from n union all select doc_id, f, false from r where doc_id not in (select doc_id from n)
+      union all select r.doc_id, r.f, true from r join n using (doc_id) where r.f <> n.f""",
     "frame_dbfs": f"with {_FRAMES} select vec_id, round({_dbfs('x')}, 6) as dbfs from f",
     "clipping_ratio": f"with {_FRAMES} select vec_id, round(len(list_filter(x, lambda v: abs(v) >= 5000)) / len(x), 6) as ratio from f",
     "interval_levels": f"""with {_FRAMES}, p as (select vec_id, unnest(range(5)) as part, x from f)
@@ -192,3 +241,4 @@ TWINS = {
     "chunk_stream": "select doc_id as media_id, 0::bigint as chunk_no, length(text)::bigint as chars from documents",
     "carried_context": """select conv_id, turn, coalesce(array_to_string(list(text) over (partition by conv_id order by turn rows between 2 preceding and 1 preceding), '¦'), '') as context from conversations""",
 }
+TWINS["report_lines"] = f"select media_id, tier, concat_ws(chr(9), status, name, detail) as line from ({TWINS['validation_report']})"
