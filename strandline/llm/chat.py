@@ -73,7 +73,8 @@ def fold(log: DataFrame) -> DataFrame:
     change nothing; other columns are ignored.
     """
     resets = F.col("kind").isin("edit", "regenerate")
-    log = log.select("conv_id", "seq", "msg", "kind", F.coalesce("body", F.lit("")).alias("body")).distinct()
+    log = log.select("conv_id", "seq", "msg", "kind", F.coalesce("body", F.lit("")).alias("body"))
+    log = log.repartition("conv_id", "msg").distinct()  # one exchange for repeats, resets and texts
     live = log.withColumn("reset", F.max(F.when(resets, F.col("seq"))).over(Window.partitionBy("conv_id", "msg")))
     counts = F.col("reset").isNull() | (F.col("seq") >= F.col("reset"))
     done = live.groupBy("conv_id", "msg").agg(
