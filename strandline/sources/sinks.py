@@ -49,8 +49,8 @@ def write_sidecars(files: DataFrame, folder: str) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """status, name, detail as tab-separated lines without a header, by medium."""
-    rows = report.repartitionByRange(1, "media_id").sortWithinPartitions("media_id", "tier") if "tier" in report.columns else report
+    """status, name, detail as tab-separated lines without a header, by medium; part after part, in their order."""
+    rows = report.repartitionByRange("media_id").sortWithinPartitions("media_id", "tier") if "tier" in report.columns else report
     rows.select("status", "name", "detail").write.mode("overwrite").csv(path, sep="\t", header=False, quote="")
 
 
