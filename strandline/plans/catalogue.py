@@ -196,13 +196,13 @@ def sample_activity(spark, d):
 
 
 def chunk_transcription(spark, d):
-    """Documents as recordings, a code point a sample at 20 a second, transcribed in chunks by the stub and put together."""
+    """Documents as recordings, a code point a sample at 100 a second, transcribed in chunks by the stub and put together."""
     loud = F.transform(F.split("text", ""), lambda c: ((F.ascii(c) * F.ascii(c)) % 97 * 330).cast("smallint"))
-    media = table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), loud.alias("samples")).withColumn("duration", F.size("samples") / 20)
+    media = table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), loud.alias("samples")).withColumn("duration", F.size("samples") / 100)
     bounds = windows.source_chunks(media)
-    clip = signal.clip(F.col("samples"), F.lit(20), F.col("decode_start"), F.col("decode_start") + F.col("decode_duration"))
-    chunks = bounds.select("media_id", "chunk_no", F.col("decode_duration").alias("duration"), F.lit(20).alias("rate"), clip.alias("samples"))
-    found = transcription.transcribe_chunks(chunks, lambda: models.LevelTranscriber(rate=20, loud=15000.0), settings=Settings(specialist_model="stub"))
+    clip = signal.clip(F.col("samples"), F.lit(100), F.col("decode_start"), F.col("decode_start") + F.col("decode_duration"))
+    chunks = bounds.select("media_id", "chunk_no", F.col("decode_duration").alias("duration"), F.lit(100).alias("rate"), clip.alias("samples"))
+    found = transcription.transcribe_chunks(chunks, lambda: models.LevelTranscriber(rate=100, loud=15000.0), settings=Settings(specialist_model="stub"))
     cues = transcription.assemble(found, bounds)
     return cues.select("media_id", F.col("idx").cast("bigint").alias("idx"), "timing", "text")
 
