@@ -49,14 +49,18 @@ def activity(pcm: DataFrame, part: Sequence[str], threshold: float = -28.0) -> D
 
 
 def to_cues(segments: DataFrame, part: Sequence[str], order: Sequence[str], settings: Settings = Settings(), phrases: Sequence[str] = SILENCE_PHRASES, ratio: Column | None = None) -> DataFrame:
-    """Filter segments and number what stays: stock phrases of 10 s and more, bad texts, empty spans, exact bursts go."""
+    """Filter segments and number what stays: stock phrases of 10 s and more, bad texts, empty spans, exact bursts go.
+
+    Segments are dealt out by ``part`` first, so that rules on texts run in as many tasks as what follows.
+    """
+    segments = segments.repartition(*part)
     # A generator keeps the filters above the collapsed text, so it is made once for all of them.
     text = F.inline(F.array(F.struct(X.collapse(F.coalesce("text", F.lit(""))).alias("text"))))
     s = segments.select(*(c for c in segments.columns if c != "text"), text)
     s = s.withColumn("start", F.coalesce("start", F.lit(0.0))).withColumn("end", F.coalesce("end", "start"))
     s = s.filter(~(X.stock_phrase(F.col("text"), phrases) & (F.col("end") - F.col("start") >= 10)))
     s = s.filter("text != '' and end > start").filter(X.quality_error(F.col("text"), settings.script, ratio).isNull())
-    s = sequences.renumber(sequences.drop_exact_bursts(s, part, order), part, order)
+    s = sequences.renumber(sequences.drop_exact_bursts(s, part, order, dealt=True), part, order)
     return s.withColumn("timing", timecode.timing(F.col("start"), F.col("end")))
 
 

@@ -31,9 +31,9 @@ def drop_bursts(rows: DataFrame, part: Sequence[str], order: Sequence[str], text
     return r.filter(~((F.col("_run") >= least) & (F.length("_root") <= longest_root))).select(*rows.columns)
 
 
-def drop_exact_bursts(rows: DataFrame, part: Sequence[str], order: Sequence[str], text: str = "text", least: int = 4) -> DataFrame:
-    """Without runs of ``least`` or more rows of equal text, white space collapsed."""
-    return islands(rows, X.collapse(F.col(text)), part, order).filter(F.col("_run") < least).select(*rows.columns)
+def drop_exact_bursts(rows: DataFrame, part: Sequence[str], order: Sequence[str], text: str = "text", least: int = 4, dealt: bool = False) -> DataFrame:
+    """Without runs of ``least`` or more rows of equal text, white space collapsed; ``dealt`` as for ``islands``."""
+    return islands(rows, X.collapse(F.col(text)), part, order, dealt).filter(F.col("_run") < least).select(*rows.columns)
 
 
 def renumber(rows: DataFrame, part: Sequence[str], order: Sequence[str], name: str = "idx") -> DataFrame:
