@@ -49,6 +49,18 @@ def source_chunks(durations: DataFrame, duration: str = "duration", size: float
     return spread.select("*", *chunk_bounds(F.col("chunk_no"), d, size, overlap))
 
 
+def seen_by_chunks(records: DataFrame, start: str = "start", duration: str = "duration", size: float = 300.0, overlap: float = 1.0) -> DataFrame:
+    """Each record, which has its whole's duration, with each chunk whose decoded range may hold its start: ``source_chunks``' columns.
+
+    Numbers and bounds follow from the times, so the chunks of long wholes with few records are never listed.
+    """
+    at, d = F.col(start), F.col(duration).cast("double")
+    near = F.array_distinct(F.array(*(F.floor((at + x) / float(size)) for x in (-float(overlap), 0.0, float(overlap)))).cast("array<int>"))
+    count = F.greatest(F.lit(1), F.ceil(d / float(size)).cast("int"))
+    met = records.filter(d.isNotNull()).select("*", F.explode(F.filter(near, lambda k: (k >= 0) & (k < count))).alias("chunk_no"))
+    return met.select("*", *chunk_bounds(F.col("chunk_no"), d, size, overlap))
+
+
 def chunk_bounds(number: Column, duration: Column, size: float = 300.0, overlap: float = 1.0) -> list[Column]:
     begin = number * float(size)
     finish = F.least(duration, begin + float(size))
