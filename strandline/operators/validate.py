@@ -14,6 +14,17 @@ from ..functions import text as X
 SLACK_MS = 2000
 
 
+def dealt(rows: DataFrame, key: str, share: int = 1 << 20) -> DataFrame:
+    """``rows`` dealt out by ``key`` into a part for each ``share`` bytes of the files that they come from.
+
+    What follows in that partitioning keeps several sorts in one task, so a task must not grow with the
+    input.  Rows of which no size is known, such as those of a checkpoint, are left as they are.
+    """
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return rows.repartition(max(1, -(-size // share)), key) if 0 < size < 1 << 60 else rows
+
+
 def first_rule(rules: list[tuple[Column, Column]]) -> Column:
     """The message of the first rule that fails, null if none does."""
     found = None
